@@ -22,6 +22,7 @@ DEFAULTS = {
 
 LOCAL = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.shuffle.partitions": "8",
     "spark.driver.memory": "8g",
     "spark.driver.bindAddress": "127.0.0.1",
