@@ -26,4 +26,4 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 def load() -> None:
     """Import the query sets once; each registers itself."""
-    from varve.plans import queries_core, queries_quality  # noqa: F401
+    from varve.plans import queries_core, queries_more, queries_quality  # noqa: F401
