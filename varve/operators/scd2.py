@@ -125,6 +125,48 @@ def apply_changes(dimension: DataFrame, changes: DataFrame, spec: Spec = CUSTOME
     return closed.unionByName(kept).unionByName(opened)
 
 
+def merge_changes(changes: DataFrame, target: str, spec: Spec = CUSTOMER) -> None:
+    """The same batch as one MERGE into a table, for formats that support row updates.
+
+    A change that opens a version appears a second time without a key, so that it is
+    inserted while its keyed twin closes the version it replaces. Parquet tables refuse
+    MERGE; use ``apply_changes`` or the dimension store there.
+    """
+    spark = changes.sparkSession
+    columns = [*spec.keys, *spec.tracked, spec.effective, spec.op, "record_hash"]
+    batch = _one_change_per_key(changes, spec).select(
+        *[F.col(c).alias(f"new_{c}") for c in columns]
+    )
+    current = spark.table(target).where("is_current")
+    match = [F.col(f"new_{k}") == F.col(k) for k in spec.keys]
+    replaced = (F.col(f"new_{spec.op}") == "U") & (F.col("new_record_hash") != F.col("record_hash"))
+    twins = batch.join(current, match).where(replaced).select(*batch.columns)
+    keyed = batch.select("*", *[F.col(f"new_{k}").alias(f"merge_{k}") for k in spec.keys])
+    unkeyed = twins.select("*", *[
+        F.lit(None).cast(changes.schema[k].dataType).alias(f"merge_{k}") for k in spec.keys
+    ])
+    matched = F.col("is_current")
+    for k in spec.keys:
+        matched = matched & (F.col(k) == F.col(f"merge_{k}"))
+    (
+        keyed.unionByName(unkeyed)
+        .mergeInto(target, matched)
+        .whenMatched(
+            (F.col(f"new_{spec.op}") == "D") | (F.col("record_hash") != F.col("new_record_hash"))
+        )
+        .update({"is_current": F.lit(False), "valid_to": F.col(f"new_{spec.effective}")})
+        .whenNotMatched(F.col(f"new_{spec.op}") == "U")
+        .insert({
+            **{c: F.col(f"new_{c}") for c in (*spec.keys, *spec.tracked)},
+            "valid_from": F.col(f"new_{spec.effective}"),
+            "valid_to": F.lit(None).cast("date"),
+            "is_current": F.lit(True),
+            "record_hash": F.col("new_record_hash"),
+        })
+        .merge()
+    )
+
+
 def from_log(log: DataFrame, spec: Spec = CUSTOMER, chunk: Column | None = None) -> DataFrame:
     """The dimension after every batch of the log, in one pass over it.
 

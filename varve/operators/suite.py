@@ -97,23 +97,26 @@ def best_reference(published: DataFrame, *runs: DataFrame) -> DataFrame:
 
 def verdicts(
     outcomes: DataFrame, results: DataFrame, reference: DataFrame,
-    tolerance: Tolerance = Tolerance(lenient_text=True),
+    referenced: DataFrame | None = None, tolerance: Tolerance = Tolerance(lenient_text=True),
 ) -> DataFrame:
     """``(query, verdict, reason)`` for every query of ``outcomes (query, success, error)``.
 
     A query passes when it ran and its rows match the reference; one that ran and has no
-    reference passes with that reason, since there is nothing to hold against it.
+    reference passes with that reason, since there is nothing to hold against it. Queries
+    whose reference is an empty answer have no reference rows: name them in ``referenced``.
     """
     compared = compare_results(results, reference, tolerance)
-    referenced = reference.select("query").distinct().withColumn("__ref", F.lit(True))
-    merged = outcomes.join(compared, "query", "left").join(referenced, "query", "left")
-    # a query that ran and returned nothing has no stored rows but may have a reference
+    known = (reference if referenced is None else referenced).select("query").distinct()
+    merged = outcomes.join(compared, "query", "left").join(
+        known.withColumn("__ref", F.lit(True)), "query", "left"
+    )
+    # neither side has rows: two empty answers
     reason = (
         F.when(~F.col("success"), F.coalesce(F.col("error"), F.lit("failed")))
         .when(F.col("__ref").isNull(), "ran; no reference to compare")
-        .otherwise(F.col("reason"))
+        .otherwise(F.coalesce(F.col("reason"), F.lit("equal")))
     )
-    passed = F.col("success") & (F.col("__ref").isNull() | F.coalesce("equal", F.lit(False)))
+    passed = F.col("success") & (F.col("__ref").isNull() | F.coalesce("equal", F.lit(True)))
     return merged.select(
         "query", F.when(passed, PASSED).otherwise(FAILED).alias("verdict"),
         reason.alias("reason"),
