@@ -3,8 +3,6 @@ from __future__ import annotations
 import re
 
 import pytest
-from pyspark.sql import functions as F
-
 from varve.functions.python_source import code_line_count, docstring_lines
 from varve.operators import corpus
 
@@ -83,13 +81,11 @@ def test_docstrings_are_not_code(spark):
 
 
 @pytest.mark.parametrize("text", [
-    "", "a", "a\n", "a\n\nb", "\n", "a\r\nb\rc\x0bd\x85e f", "x\n\n", "é\n\tq ",
+    "", "a", "a\n", "a\n\nb", "\n", "\r\n\n\r\r\n", "a\r\nb\rc\x0bd\x85e f", "x\n\n", "é\n\tq ",
 ])
 def test_lines_split_like_python(spark, text):
-    row = spark.createDataFrame([(text,)], "t STRING").select(
-        corpus.split_lines(F.col("t")).alias("lines")
-    ).first()
-    assert row.lines == text.splitlines()
+    files = spark.createDataFrame([("f", text)], "file STRING, text STRING")
+    assert corpus.split_lines(files).first().lines == text.splitlines()
 
 
 def test_code_lines(spark):

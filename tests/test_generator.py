@@ -26,7 +26,7 @@ def raw(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def tables(spark, raw):
     layout = schema.Layout(SF, raw[0])
-    return Tables.from_reader(lambda t: spark.read.parquet(layout.raw_path(t)))
+    return Tables(lambda t: spark.read.parquet(layout.raw_path(t)))
 
 
 @pytest.fixture(scope="module")

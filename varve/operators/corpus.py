@@ -10,6 +10,8 @@ import os
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,8 +86,8 @@ SKIPPED_FOLDERS = (".venv", "stack")
 COMMENT_MARKERS = {"sql": "--", "yml": "#", "yaml": "#"}
 SHOWN = 160
 
-# every line boundary that str.splitlines knows
-_LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+# every line boundary that str.splitlines knows; one class first, so that scanning is cheap
+_LINE_BREAK = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
 _BLANKS_AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -135,14 +137,27 @@ def suffix_of(file: Column) -> Column:
     return F.lower(F.regexp_extract(file, r"\.([^./]+)$", 1))
 
 
-def split_lines(text: Column) -> Column:
-    """Lines of a whole text; a line break at the very end opens no further line."""
-    parts = F.split(text, _LINE_BREAK, -1)
+_PARTS = "__parts"
+
+
+def _with_parts(files: DataFrame) -> DataFrame:
+    """Split the text in a projection of its own: what follows uses the pieces repeatedly."""
+    return files.withColumn(_PARTS, F.split("text", _LINE_BREAK, -1))
+
+
+def _lines() -> Column:
+    """The lines of a split text; a line break at the very end opens no further line."""
+    parts = F.col(_PARTS)
     return F.when(
         F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
     ).otherwise(parts)
 
 
+def split_lines(files: DataFrame) -> DataFrame:
+    """``files`` with ``lines`` instead of ``text``."""
+    return _with_parts(files).withColumn("lines", _lines()).drop("text", _PARTS)
+
+
 def stripped(line: Column) -> Column:
     return F.regexp_replace(line, _BLANKS_AROUND, "")
 
@@ -171,11 +186,16 @@ def _is_comment(line: Column, suffix: Column) -> Column:
     return rule
 
 
+def _hit(line: Column, rule: Rule) -> Column:
+    """Does a line match? ``(?U)`` gives character classes their Unicode meaning."""
+    return line.rlike("(?U)" + rule.pattern)
+
+
 def _matches(line: Column, rules: Iterable[Rule]) -> Column:
-    """The rules a line breaks, as structs. ``(?U)`` gives classes their Unicode meaning."""
+    """The rules a line matches, as structs."""
     hits = [
         F.when(
-            line.rlike("(?U)" + r.pattern),
+            _hit(line, r),
             F.struct(F.lit(r.key).alias("rule"), F.lit(r.capability).alias("capability"),
                      F.lit(r.classification).alias("classification"),
                      F.lit(r.alternative).alias("alternative")),
@@ -191,10 +211,11 @@ def findings(files: DataFrame, rules: Iterable[Rule] = RULES, python: bool = Tru
     Comments and docstrings are skipped: naming a construct is not using it. ``python=False``
     leaves out the Python step for a corpus without Python files. Nothing is shuffled.
     """
-    lines = F.posexplode(split_lines(F.col("text"))).alias("__pos", "__line")
-    prepared = _with_python(files, "__docs", _docstrings) if python else files.withColumn(
+    lines = F.posexplode(_lines()).alias("__pos", "__line")
+    known = _with_python(files, "__docs", _docstrings) if python else files.withColumn(
         "__docs", F.lit(None).cast("array<int>")
     )
+    prepared = _with_parts(known)
     suffix = suffix_of(F.col("file"))
     located = prepared.select(F.col("file"), suffix.alias("__suffix"), "__docs", lines).select(
         "file", "__suffix", "__docs", (F.col("__pos") + 1).alias("line"), "__line"
@@ -203,8 +224,11 @@ def findings(files: DataFrame, rules: Iterable[Rule] = RULES, python: bool = Tru
         ~_is_comment(F.col("__line"), F.col("__suffix"))
         & ~F.coalesce(F.array_contains("__docs", F.col("line")), F.lit(False))
     )
+    rules = list(rules)
+    # compiled code drops the many lines without a hit before the arrays are built
+    hit = code.where(reduce(or_, [_hit(F.col("__line"), r) for r in rules]))
     return (
-        code.select("file", "line", "__line", F.inline(_matches(F.col("__line"), rules)))
+        hit.select("file", "line", "__line", F.inline(_matches(F.col("__line"), rules)))
         .withColumn("text", F.substring(stripped(F.col("__line")), 1, SHOWN))
         .drop("__line")
     )
@@ -221,11 +245,11 @@ def code_lines(files: DataFrame, python: bool = True) -> DataFrame:
     """
     suffix = suffix_of(F.col("file"))
     marker = F.when(suffix == "sql", "--").otherwise("#")
-    texts = F.transform(split_lines(F.col("text")), stripped)
+    texts = F.transform(_lines(), stripped)
     plain = F.size(F.filter(texts, lambda s: (s != "") & ~F.startswith(s, marker)))
     if not python:
-        return files.select("file", plain.alias("loc"))
-    counted = _with_python(files, "__py", _code_lines)
+        return _with_parts(files).select("file", plain.alias("loc"))
+    counted = _with_parts(_with_python(files, "__py", _code_lines))
     return counted.select("file", F.when(suffix == "py", F.col("__py")).otherwise(plain).alias("loc"))
 
 

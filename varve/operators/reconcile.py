@@ -160,33 +160,36 @@ def compare_sorted(
     )
     placed = ordered.running_before(chunked, order, __l0="__l", __r0="__r")
 
-    vector = F.struct(F.lit(1).alias("__row"), *[F.col(c) for c in approx])
-
-    def pieces(count: str, start: str, side: str) -> DataFrame:
-        """Runs of one side, cut at block borders."""
-        first = F.floor(F.col(start) / block)
-        last = F.floor((F.col(start) + F.col(count) - 1) / block)
-        cut = placed.where(F.col(count) > 0).select(
-            ordered.GROUP, F.col(start).alias("__from"),
-            (F.col(start) + F.col(count)).alias("__to"), vector.alias("__v"),
-            F.explode(F.sequence(first, last)).alias("__block"),
-        )
-        return cut.select(
-            ordered.GROUP, "__block",
+    # one row per run and side: (side, first position, position after the last)
+    sides = F.filter(
+        F.array(*[
+            F.when(F.col(n) > 0, F.struct(F.lit(side).alias("__side"), F.col(start).alias("__from"),
+                                          (F.col(start) + F.col(n)).alias("__to")))
+            for side, n, start in (("l", "__l", "__l0"), ("r", "__r", "__r0"))
+        ]),
+        lambda entry: entry.isNotNull(),
+    )
+    vector = F.struct(F.lit(1).alias("__row"), *[F.col(c) for c in approx]).alias("__v")
+    # cut at block borders
+    pieces = (
+        placed.select(ordered.GROUP, vector, F.inline(sides))
+        .select("*", F.explode(F.sequence(
+            F.floor(F.col("__from") / block), F.floor((F.col("__to") - 1) / block)
+        )).alias("__block"))
+        .select(
+            ordered.GROUP, "__block", "__side", "__v",
             F.greatest(F.col("__from"), F.col("__block") * block).alias("__from"),
             F.least(F.col("__to"), (F.col("__block") + 1) * block).alias("__to"),
-            F.lit(side).alias("__side"), "__v",
         )
-
-    both = pieces("__l", "__l0", "l").unionByName(pieces("__r", "__r0", "r"))
+    )
     # starts of runs, and ends, where a side may have no further run
-    events = both.select(
+    events = pieces.select(
         ordered.GROUP, "__block", "__side",
         F.inline(F.array(
             F.struct(F.col("__from").alias("__at"), F.lit(1).alias("__opens"),
                      F.col("__v").alias("__v")),
             F.struct(F.col("__to").alias("__at"), F.lit(0).alias("__opens"),
-                     F.lit(None).cast(both.schema["__v"].dataType).alias("__v")),
+                     F.lit(None).cast(pieces.schema["__v"].dataType).alias("__v")),
         )),
     )
     spot = Window.partitionBy(ordered.GROUP, "__block").orderBy("__at", "__opens")

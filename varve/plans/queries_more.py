@@ -297,7 +297,7 @@ register(
 
 # Rules for the given prose; java, python and re2 read these patterns alike.
 _TEXT_RULES = (
-    corpus.Rule("mail_address", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+", "mail", "PERSONAL"),
+    corpus.Rule("mail_address", r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[a-z]+", "mail", "PERSONAL"),
     corpus.Rule("ip_address", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "network", "PERSONAL"),
     corpus.Rule("license_line", r"(?i)licen[sc]e", "license", "LEGAL"),
     corpus.Rule("assigned_token", r"token = \"[0-9a-f]+", "secret", "SECRET"),

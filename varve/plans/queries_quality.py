@@ -215,7 +215,7 @@ def _schema_sql(table: str) -> str:
 register(
     "quality_schema",
     lambda spark, sf_dir: quality.schema_reports(
-        {t: standin.parquet(spark, sf_dir, t) for t in GIVEN}
+        {t: standin.inferred(spark, sf_dir, t) for t in GIVEN}
     ),
     " UNION ALL ".join(_schema_sql(t) for t in GIVEN),
 )

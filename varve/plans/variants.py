@@ -6,8 +6,6 @@ specification's generator, so its validation parameters would select nothing.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +46,7 @@ Q22_ORDERS = "o_orderdate >= DATE '2000-01-01' AND o_orderstatus = 'F'"
 
 def run(name: str, tables: standin.Tables) -> DataFrame:
     if name == "q22":
-        tables = replace(tables, orders=tables.orders.where(F.expr(Q22_ORDERS)))
+        tables = tables.replaced(orders=tables.orders.where(F.expr(Q22_ORDERS)))
     return tpch.run(name, tables, **PARAMETERS[name])
 
 

@@ -11,32 +11,37 @@ ranges through the cast to the parquet reader.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve import schema
+
 
-@dataclass(frozen=True)
 class Tables:
-    """The eight tables as DataFrames."""
+    """The eight tables as DataFrames, each read on first use.
+
+    ``read`` maps a table name to a DataFrame: over paths, the catalog or derived columns.
+    """
+
+    def __init__(self, read: Callable[[str], DataFrame]):
+        self._read = read
+        self._seen: dict[str, DataFrame] = {}
 
-    region: DataFrame
-    nation: DataFrame
-    supplier: DataFrame
-    customer: DataFrame
-    part: DataFrame
-    partsupp: DataFrame
-    orders: DataFrame
-    lineitem: DataFrame
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in schema.COLUMNS:
+            raise AttributeError(name)
+        if name not in self._seen:
+            self._seen[name] = self._read(name)
+        return self._seen[name]
 
-    @classmethod
-    def from_reader(cls, read) -> Tables:
-        """Build from any ``name -> DataFrame`` function (paths, catalog, views)."""
-        return cls(**{f.name: read(f.name) for f in fields(cls)})
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, getattr(self, name)) for name in schema.tables()]
 
-    def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+    def replaced(self, **frames: DataFrame) -> Tables:
+        """The same tables with some of them exchanged."""
+        return Tables(lambda name: frames[name] if name in frames else getattr(self, name))
 
 
 def _choice(key: str, *values: str) -> str:
@@ -150,8 +155,47 @@ PARTSUPP_AGGREGATES: dict[str, str] = {
 PARTSUPP_COMMENT = f"'pair ' || {_text('ps_partkey % 10')}"
 
 
+# Schemas of the given files. Declaring them saves a job per read that opens a footer.
+GIVEN: dict[str, str] = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "customer": (
+        "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
+    ),
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+        "p_retailprice DOUBLE"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+        "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+        "props STRING"
+    ),
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
+
+def _path(sf_dir: str, table: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{table}.parquet"
+
+
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    """A given file with its known schema."""
+    return spark.read.schema(GIVEN[table]).parquet(_path(sf_dir, table))
+
+
+def inferred(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given file with whatever schema it has."""
+    return spark.read.parquet(_path(sf_dir, table))
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
@@ -165,7 +209,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
             *[f"{expression} AS {name}" for name, expression in columns.items()]
         )
 
-    return Tables.from_reader(read)
+    return Tables(read)
 
 
 def partsupp(raw_lineitem: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def build_silver(spark: SparkSession, layout: Layout) -> DataFrame:
 
 
 def silver(spark: SparkSession, layout: Layout) -> Tables:
-    return Tables.from_reader(lambda t: tables.table(spark, layout, layout.silver, t))
+    return Tables(lambda t: tables.table(spark, layout, layout.silver, t))
 
 
 def build_gold(spark: SparkSession, layout: Layout) -> DataFrame:
