@@ -21,7 +21,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.warehouse.dir": str(warehouse),
             "spark.driver.extraJavaOptions": f"-Dderby.system.home={warehouse}",
-            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "5000",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,9 +1,9 @@
 """Order-dependent calculations over groups too large for one task.
 
 A window partitioned by a key sends all rows of that key to one task. Here each group is
-cut into *chunks* that follow its order: windows run per (group, chunk), one summary row
-per chunk carries what later chunks need, and a window over those few summary rows links
-them. A key that holds a third of the table is then spread over many tasks.
+cut into *chunks* that follow its order: windows run per (group, chunk), and a second window
+over one or two rows per chunk links the chunks. A key that holds a third of the table is
+then spread over many tasks.
 
 ``CHUNK`` must not decrease along the order inside a group. Use a rule computed from the
 row (a minute, an integer part) when the data offers one, or ``range_chunks``.
@@ -89,18 +89,27 @@ def following(df: DataFrame, order: list[str], value: str, name: str) -> DataFra
 
 
 def _neighbour(df: DataFrame, order: list[str], value: str, name: str, forward: bool) -> DataFrame:
+    """Look next door inside the chunk; only chunk borders look across chunks.
+
+    Both parts read the same shuffled rows. The second part holds at most two rows per
+    chunk, in which the row next to a chunk's first row is the last of the chunk before.
+    """
     wrapped = F.struct(F.col(value).alias("value"))
     step = F.lead if forward else F.lag
-    edge = F.min_by if forward else F.max_by
-    rows = df.select("*", step(wrapped).over(_within(order)).alias("__near"))
-    summary = (
-        df.groupBy(GROUP, CHUNK)
-        .agg(edge(wrapped, F.struct(*[F.col(c) for c in order])).alias("__edge"))
-        .select(GROUP, CHUNK, step("__edge").over(_across()).alias("__far"))
+    around = _within(order)
+    rows = df.select(
+        "*", step(wrapped).over(around).alias(name),
+        F.lag(F.lit(True)).over(around).isNull().alias("__first"),
+        F.lead(F.lit(True)).over(around).isNull().alias("__last"),
     )
-    return _link(rows, summary).select(
-        *df.columns, F.coalesce(F.col("__near"), F.col("__far")).alias(name)
+    border = F.col("__last" if forward else "__first")
+    across = Window.partitionBy(GROUP).orderBy(CHUNK, *order)
+    borders = (
+        rows.where(F.col("__first") | F.col("__last"))
+        .withColumn(name, step(wrapped).over(across))
+        .where(border)
     )
+    return rows.where(~border).unionByName(borders).drop("__first", "__last")
 
 
 def plain(df: DataFrame) -> DataFrame:
