@@ -94,11 +94,11 @@ def _neighbour(df: DataFrame, order: list[str], value: str, name: str, forward:
     Both parts read the same shuffled rows. The second part holds at most two rows per
     chunk, in which the row next to a chunk's first row is the last of the chunk before.
     """
-    wrapped = F.struct(F.col(value).alias("value"))
     step = F.lead if forward else F.lag
     around = _within(order)
-    rows = df.select(
-        "*", step(wrapped).over(around).alias(name),
+    # the wrapped value is a column of both parts, so that they share one exchange
+    rows = df.withColumn("__value", F.struct(F.col(value).alias("value"))).select(
+        "*", step("__value").over(around).alias(name),
         F.lag(F.lit(True)).over(around).isNull().alias("__first"),
         F.lead(F.lit(True)).over(around).isNull().alias("__last"),
     )
@@ -106,10 +106,10 @@ def _neighbour(df: DataFrame, order: list[str], value: str, name: str, forward:
     across = Window.partitionBy(GROUP).orderBy(CHUNK, *order)
     borders = (
         rows.where(F.col("__first") | F.col("__last"))
-        .withColumn(name, step(wrapped).over(across))
+        .withColumn(name, step("__value").over(across))
         .where(border)
     )
-    return rows.where(~border).unionByName(borders).drop("__first", "__last")
+    return rows.where(~border).unionByName(borders).drop("__first", "__last", "__value")
 
 
 def plain(df: DataFrame) -> DataFrame:

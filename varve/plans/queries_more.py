@@ -42,9 +42,7 @@ def _order_log(spark, sf_dir) -> DataFrame:
     last = orders.groupBy("o_custkey", F.expr(_ORDER_BATCH).alias("batch_id")).agg(
         F.max(F.struct("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus")).alias("o")
     )
-    return last.select("o_custkey", "batch_id", "o.*").selectExpr(
-        *[f"{e} AS {n}" for n, e in _ORDER_CHANGE.items()]
-    )
+    return standin.derived(last.select("o_custkey", "batch_id", "o.*"), _ORDER_CHANGE)
 
 
 _ORDER_LOG_SQL = (
@@ -73,9 +71,7 @@ _EVENT_SPEC = scd2.Spec(sequence=("ts", "seq"))
 
 
 def _event_dimension(spark, sf_dir) -> DataFrame:
-    log = standin.parquet(spark, sf_dir, "events").selectExpr(
-        *[f"{e} AS {n}" for n, e in _EVENT_CHANGE.items()]
-    )
+    log = standin.derived(standin.parquet(spark, sf_dir, "events"), _EVENT_CHANGE)
     # minutes follow the event order, so the busiest user is spread over as many tasks
     return scd2.from_log(log, _EVENT_SPEC, chunk=F.date_trunc("minute", "ts"))
 
@@ -217,9 +213,7 @@ _TIMING_SQL = f"WITH t AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _TIMING.i
 
 
 def _timings(spark, sf_dir) -> DataFrame:
-    return standin.parquet(spark, sf_dir, "events").selectExpr(
-        *[f"{e} AS {n}" for n, e in _TIMING.items()]
-    )
+    return standin.derived(standin.parquet(spark, sf_dir, "events"), _TIMING)
 
 
 register(

@@ -198,6 +198,15 @@ def inferred(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(_path(sf_dir, table))
 
 
+def derived(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Select named expressions. A column under its own name gets no alias: an alias would
+    make two uses of one plan look different and keep them from sharing an exchange."""
+    return df.selectExpr(
+        *[name if expression == name else f"{expression} AS {name}"
+          for name, expression in columns.items()]
+    )
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """All eight tables, lazily, over the given directory."""
 
@@ -205,9 +214,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         if table == "partsupp":
             return partsupp(parquet(spark, sf_dir, "lineitem"))
         columns = PROJECTIONS[table]
-        return parquet(spark, sf_dir, table).selectExpr(
-            *[f"{expression} AS {name}" for name, expression in columns.items()]
-        )
+        return derived(parquet(spark, sf_dir, table), columns)
 
     return Tables(read)
 
