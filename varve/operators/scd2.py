@@ -8,7 +8,7 @@ data, never from the clock, so a result can be repeated.
 ``apply_changes`` folds one batch into a dimension; ``from_log`` builds the whole
 dimension from the whole log. Both follow the same rules: an unchanged repeat makes no
 version; a delete only closes; deleting an unknown key does nothing; a key that comes back
-leaves a gap.
+leaves a gap. NULL attributes, and NULL keys, compare equal to each other.
 """
 
 from __future__ import annotations
@@ -53,6 +53,11 @@ class Spec:
         return result
 
 
+    def same_key(self, left: str, right: str) -> list[Column]:
+        """Equal business keys; a NULL key is a key like any other."""
+        return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in self.keys]
+
+
 CUSTOMER = Spec()
 
 
@@ -95,7 +100,7 @@ def apply_changes(dimension: DataFrame, changes: DataFrame, spec: Spec = CUSTOME
     current = dimension.where("is_current")
     touched = (
         current.alias("c")
-        .join(batch.alias("b"), [F.col(f"c.{k}") == F.col(f"b.{k}") for k in spec.keys])
+        .join(batch.alias("b"), spec.same_key("c", "b"))
         .select(
             *[F.col(f"b.{k}").alias(k) for k in spec.keys],
             spec.same("c", "b").alias("__same"),
@@ -109,14 +114,15 @@ def apply_changes(dimension: DataFrame, changes: DataFrame, spec: Spec = CUSTOME
     closing = touched.where((F.col("__op") == "D") | ~F.col("__same")).select(
         *spec.keys, "__until"
     )
-    kept = current.join(closing, list(spec.keys), "left").select(
-        *spec.keys, *spec.tracked, "valid_from",
+    kept = current.alias("c").join(closing.alias("x"), spec.same_key("c", "x"), "left").select(
+        *[F.col(f"c.{name}") for name in (*spec.keys, *spec.tracked, "valid_from")],
         F.col("__until").alias("valid_to"),
         F.col("__until").isNull().alias("is_current"),
         "record_hash",
     )
     unchanged = touched.where("__same").select(*spec.keys)
-    opened = batch.where(F.col(spec.op) == "U").join(unchanged, list(spec.keys), "left_anti").select(
+    upserts = batch.where(F.col(spec.op) == "U").alias("b")
+    opened = upserts.join(unchanged.alias("u"), spec.same_key("b", "u"), "left_anti").select(
         *spec.keys, *spec.tracked,
         F.col(spec.effective).alias("valid_from"), "valid_to",
         F.lit(True).alias("is_current"), "record_hash",

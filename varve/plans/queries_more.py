@@ -12,7 +12,8 @@ from varve.functions.masking import mask_email
 from varve.operators import corpus, coverage, policy, scd2, suite
 from varve.plans.registry import register
 from varve.session import ensure_checkpoint_dir
-from varve.sources import standin
+from varve.sources import changes, standin, tables
+from varve.sources.dimension_store import DimensionStore
 from varve.streaming import ingest
 
 # --- change logs over the given tables --------------------------------------------------
@@ -287,6 +288,26 @@ register(
     SELECT query, CASE WHEN nb = 0 OR na = same THEN 'PASSED' ELSE 'FAILED' END AS verdict FROM j""",
 )
 
+def _stored_rows(spark, sf_dir):
+    """A query result as the stored rows of its evidence: every cell as text."""
+    sums = standin.load(spark, sf_dir).orders.groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"),
+        F.max("o_orderdate").alias("last"),
+        F.max(F.when(F.col("o_orderstatus") == "P", F.lit(True))).alias("partial"),
+    )
+    stored = tables.result_rows(sums.orderBy("o_orderpriority", "o_orderstatus"), "orders by state")
+    return stored.select("query", "ordinal", F.array_join("cells", "|", "NULL").alias("cells"))
+
+
+register("stored_rows", _stored_rows, "WITH " + standin.oracle_cte("orders") + """
+    SELECT 'orders by state' AS query,
+           row_number() OVER (ORDER BY o_orderpriority, o_orderstatus) - 1 AS ordinal,
+           concat_ws('|', o_orderpriority, o_orderstatus, CAST(n AS VARCHAR),
+                     CAST(total AS VARCHAR), CAST(last AS VARCHAR),
+                     CASE WHEN o_orderstatus = 'P' THEN 'true' ELSE 'NULL' END) AS cells
+    FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n, sum(o_totalprice) AS total,
+                 max(o_orderdate) AS last FROM v_orders GROUP BY ALL)""")
+
 # --- corpus -----------------------------------------------------------------------------
 
 # Rules for the given prose; java, python and re2 read these patterns alike.
@@ -421,6 +442,12 @@ register("rule_violations", _violations, """
            CAST(NULL AS VARCHAR) AS value, count(*) AS rows
     FROM events WHERE event_id % 9 = 0 OR props IS NULL HAVING count(*) > 0
     UNION ALL
+    SELECT 'events', 'required', 'user_id', NULL, count(*) FROM events WHERE user_id IS NULL
+    HAVING count(*) > 0
+    UNION ALL
+    SELECT 'lineitem', 'required', 'l_orderkey', NULL, count(*) FROM lineitem
+    WHERE l_orderkey IS NULL HAVING count(*) > 0
+    UNION ALL
     SELECT 'events', 'allowed', 'event_type', event_type, count(*) FROM events
     WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY event_type
     UNION ALL
@@ -434,9 +461,14 @@ register("rule_violations", _violations, """
 # --- streaming --------------------------------------------------------------------------
 
 
+def _scratch(spark) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/varve-{uuid.uuid4().hex}"
+
+
 def _stream_bronze(spark, sf_dir):
-    """The events file as a stream into a bronze folder below the checkpoint folder."""
-    base = f"{ensure_checkpoint_dir(spark)}/bronze-{uuid.uuid4().hex}"
+    """The events file as a stream into a bronze folder."""
+    base = _scratch(spark)
     schema = standin.parquet(spark, sf_dir, "events").schema
     stream = ingest.read_files(spark, f"{sf_dir}/event[s].parquet", schema)
     ingest.to_bronze(stream, f"{base}/table", f"{base}/progress", "stream-1")
@@ -446,6 +478,33 @@ def _stream_bronze(spark, sf_dir):
     )
 
 
+def _order_store(spark, base: str, name: str) -> DimensionStore:
+    return DimensionStore(spark, f"{base}/{name}", changes.SCHEMA)
+
+
+def _store_dimension(spark, sf_dir):
+    """The order log ingested batch by batch and applied from the stored log."""
+    store = _order_store(spark, _scratch(spark), "dimension")
+    log = _order_log(spark, sf_dir)
+    for batch_id in (1, 2, 3):
+        store.ingest(batch_id, log.where(F.col("batch_id") == batch_id))
+        store.apply_pending()
+    return store.dimension()
+
+
+def _stream_dimension(spark, sf_dir):
+    """The order log as change files that a stream folds into the dimension."""
+    base = _scratch(spark)
+    _order_log(spark, sf_dir).write.parquet(f"{base}/feed")
+    store = _order_store(spark, base, "dimension")
+    stream = ingest.read_files(spark, f"{base}/feed", changes.SCHEMA)
+    ingest.to_dimension(stream, store, f"{base}/progress")
+    return store.dimension()
+
+
+register("scd2_store", _store_dimension, _ORDER_DIM_SQL + "SELECT * FROM dim")
+register("stream_scd2", _stream_dimension, _ORDER_DIM_SQL + "SELECT * FROM dim")
+
 register("stream_bronze", _stream_bronze, """
     SELECT event_id, user_id, event_type, value, 'stream-1' AS _batch_id,
            'events.parquet' AS _source_file FROM events""")

@@ -123,14 +123,15 @@ register(
 # --- quality ----------------------------------------------------------------------------
 
 _KEYS_SQL = " UNION ALL ".join(
-    f"""SELECT '{t}' AS table_name, count(*) AS rows, count(DISTINCT ({keys})) AS distinct_pk,
-        count(*) - count({' + '.join(schema.PRIMARY_KEYS[t])}) AS null_pk,
-        (SELECT count(*) FROM (SELECT 1 FROM v_{t} GROUP BY {keys} HAVING count(*) > 1))
-          AS duplicate_keys,
-        count(DISTINCT ({keys})) = count(*) AS pk_unique,
-        count(*) = count({' + '.join(schema.PRIMARY_KEYS[t])}) AS pk_not_null FROM v_{t}"""
-    for t in ALL
-    for keys in [", ".join(schema.PRIMARY_KEYS[t])]
+    f"""SELECT '{t}' AS table_name, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows,
+        count(CASE WHEN complete THEN 1 END) AS distinct_pk,
+        CAST(coalesce(sum(CASE WHEN NOT complete THEN n END), 0) AS BIGINT) AS null_pk,
+        count(CASE WHEN complete AND n > 1 THEN 1 END) AS duplicate_keys,
+        count(CASE WHEN complete THEN 1 END) = coalesce(sum(n), 0) AS pk_unique,
+        count(CASE WHEN NOT complete THEN 1 END) = 0 AS pk_not_null
+        FROM (SELECT {' AND '.join(f'{k} IS NOT NULL' for k in keys)} AS complete, count(*) AS n
+              FROM v_{t} GROUP BY {', '.join(keys)})"""
+    for t, keys in schema.PRIMARY_KEYS.items()
 )
 register(
     "quality_keys",
@@ -360,9 +361,11 @@ _REPORT_SQL = """,
                 ELSE 'PASS' END AS status FROM c
     UNION ALL SELECT 'primary_keys', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END FROM k
     UNION ALL SELECT 'foreign_keys', CASE WHEN (
-        SELECT count(*) FROM v_lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM v_orders)
+        SELECT count(*) FROM v_lineitem LEFT JOIN v_orders ON l_orderkey = o_orderkey
+        WHERE o_orderkey IS NULL
       ) + (
-        SELECT count(*) FROM v_orders WHERE o_custkey NOT IN (SELECT c_custkey FROM v_customer)
+        SELECT count(*) FROM v_orders LEFT JOIN v_customer ON o_custkey = c_custkey
+        WHERE c_custkey IS NULL
       ) > 0 THEN 'FAIL' ELSE 'PASS' END
     UNION ALL SELECT 'schemas', 'PASS'"""
 
