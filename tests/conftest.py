@@ -22,6 +22,8 @@ def spark(tmp_path_factory):
             "spark.sql.warehouse.dir": str(warehouse),
             "spark.driver.extraJavaOptions": f"-Dderby.system.home={warehouse}",
             "spark.sql.maxMetadataStringLength": "5000",
+            "spark.sql.shuffle.partitions": "4",
+            "spark.default.parallelism": "2",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
