@@ -134,13 +134,14 @@ def test_running_totals_and_neighbours(spark):
         total, before = seen.get(k, (0, None))
         expected[at] = (total, before)
         seen[k] = (total + n, n)
-    for chunked in (ordered.range_chunks(df, ["k"], ["at"], 6),
-                    ordered.grouped(df, ["k"], F.floor(F.col("at") / 10))):
-        out = ordered.previous(
-            ordered.running_before(chunked, ["at"], total="n"), ["at"], "n", "prev"
-        ).collect()
+    sums = {k: total for k, (total, _) in seen.items()}
+    for chunks in (ordered.range_chunks(df, ["k"], ["at"], 6),
+                   ordered.chunked(df, F.floor(F.col("at") / 10))):
+        totals = ordered.running_before(chunks, ["k"], ["at"], {"total": "n"}, {"all": "n"})
+        out = ordered.previous(totals, ["k"], ["at"], "n", "prev").collect()
         assert {r["at"]: (r.total, r.prev and r.prev.value) for r in out} == expected
-        after = ordered.following(chunked, ["at"], "at", "next").where("k = 'h'").collect()
+        assert all(r["all"] == sums[r.k] for r in out)
+        after = ordered.following(chunks, ["k"], ["at"], "at", "next").where("k = 'h'").collect()
         hot = sorted(at for k, at, _ in data if k == "h")
         assert {r["at"]: r.next and r.next.value for r in after} == dict(
             zip(hot, [*hot[1:], None], strict=True))

@@ -6,7 +6,8 @@ over one or two rows per chunk links the chunks. A key that holds a third of the
 then spread over many tasks.
 
 ``CHUNK`` must not decrease along the order inside a group. Use a rule computed from the
-row (a minute, an integer part) when the data offers one, or ``range_chunks``.
+row (a minute, an integer part) when the data offers one, or ``range_chunks``. NULL keys
+form a group of their own, as in any window.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 
 from varve.session import ensure_checkpoint_dir
 
-GROUP, CHUNK = "__group", "__chunk"
+CHUNK = "__chunk"
 
 
-def grouped(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """Add the group and the chunk of every row, as structs so that NULLs compare equal."""
-    return df.select("*", _group(keys), F.struct(chunk.alias("at")).alias(CHUNK))
+def chunked(df: DataFrame, chunk: Column) -> DataFrame:
+    """Add the chunk of every row by a rule."""
+    return df.select("*", chunk.alias(CHUNK))
 
 
 def range_chunks(
@@ -36,66 +37,70 @@ def range_chunks(
     ensure_checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *keys, *order)
-    return grouped(ranged, keys, F.spark_partition_id()).checkpoint()
+    return chunked(ranged, F.spark_partition_id()).checkpoint()
 
 
-def _group(keys: list[str]) -> Column:
-    columns = [F.col(k) for k in keys] or [F.lit(0).alias("all")]
-    return F.struct(*columns).alias(GROUP)
-
-
-def _within(order: list[str]):
-    return Window.partitionBy(GROUP, CHUNK).orderBy(*order)
-
-
-def _across():
-    return Window.partitionBy(GROUP).orderBy(CHUNK)
-
-
-def _link(rows: DataFrame, summary: DataFrame) -> DataFrame:
-    return rows.join(summary, [GROUP, CHUNK])
-
+def running_before(
+    df: DataFrame, keys: list[str], order: list[str],
+    before: dict[str, str], whole: dict[str, str] | None = None,
+) -> DataFrame:
+    """Add sums over the earlier rows of the group, and over the whole group.
 
-def running_before(df: DataFrame, order: list[str], **totals: str) -> DataFrame:
-    """Sums over the earlier rows of the group: ``running_before(df, ["v"], start="n")``."""
-    earlier = _within(order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier_chunks = _across().rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select(
-        "*", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__in_{n}")
-               for n, v in totals.items()]
+    ``before`` and ``whole`` map a new column to the counted column. Each chunk gets one
+    extra row that stands before its first and holds what the chunks before it add up to;
+    a running sum inside the chunk then starts from there, and no join is needed.
+    """
+    whole = whole or {}
+    names = [*before, *whole]
+    across = Window.partitionBy(*keys).orderBy(CHUNK)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    everything = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    totals = df.groupBy(*keys, CHUNK).agg(
+        *[F.sum(c).cast("bigint").alias(f"__sum_{n}") for n, c in {**before, **whole}.items()]
     )
-    summary = (
-        df.groupBy(GROUP, CHUNK)
-        .agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in totals.items()])
-        .select(GROUP, CHUNK, *[
-            F.coalesce(F.sum(f"__sum_{n}").over(earlier_chunks), F.lit(0)).alias(f"__before_{n}")
-            for n in totals
-        ])
+    starts = totals.select(
+        *keys, CHUNK,
+        *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(n) for n in before],
+        *[F.sum(f"__sum_{n}").over(everything).alias(n) for n in whole],
+        F.lit(0).alias("__real"),
+    )
+    rows = df.select(
+        *df.columns, *[F.col(c).cast("bigint").alias(n) for n, c in before.items()],
+        *[F.lit(None).cast("bigint").alias(n) for n in whole], F.lit(1).alias("__real"),
     )
-    return _link(rows, summary).select(
-        *df.columns,
-        *[(F.col(f"__in_{n}") + F.col(f"__before_{n}")).cast("bigint").alias(n) for n in totals],
+    inside = Window.partitionBy(*keys, CHUNK).orderBy("__real", *order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    summed = both.select(
+        *df.columns, "__real",
+        *[F.sum(n).over(so_far).alias(n) for n in before],
+        *[F.first(n).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(n)
+          for n in whole],
     )
+    return summed.where(F.col("__real") == 1).select(*df.columns, *names)
 
 
-def previous(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add the value of the row before, wrapped in a struct: NULL means "no such row"."""
-    return _neighbour(df, order, value, name, forward=False)
+    return _neighbour(df, keys, order, value, name, forward=False)
 
 
-def following(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+def following(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add the value of the row after, wrapped in a struct: NULL means "no such row"."""
-    return _neighbour(df, order, value, name, forward=True)
+    return _neighbour(df, keys, order, value, name, forward=True)
 
 
-def _neighbour(df: DataFrame, order: list[str], value: str, name: str, forward: bool) -> DataFrame:
+def _neighbour(
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, forward: bool
+) -> DataFrame:
     """Look next door inside the chunk; only chunk borders look across chunks.
 
     Both parts read the same shuffled rows. The second part holds at most two rows per
     chunk, in which the row next to a chunk's first row is the last of the chunk before.
     """
     step = F.lead if forward else F.lag
-    around = _within(order)
+    around = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     # the wrapped value is a column of both parts, so that they share one exchange
     rows = df.withColumn("__value", F.struct(F.col(value).alias("value"))).select(
         "*", step("__value").over(around).alias(name),
@@ -103,7 +108,7 @@ def _neighbour(df: DataFrame, order: list[str], value: str, name: str, forward:
         F.lead(F.lit(True)).over(around).isNull().alias("__last"),
     )
     border = F.col("__last" if forward else "__first")
-    across = Window.partitionBy(GROUP).orderBy(CHUNK, *order)
+    across = Window.partitionBy(*keys).orderBy(CHUNK, *order)
     borders = (
         rows.where(F.col("__first") | F.col("__last"))
         .withColumn(name, step("__value").over(across))
@@ -112,11 +117,6 @@ def _neighbour(df: DataFrame, order: list[str], value: str, name: str, forward:
     return rows.where(~border).unionByName(borders).drop("__first", "__last", "__value")
 
 
-def plain(df: DataFrame) -> DataFrame:
-    """Drop the helper columns."""
-    return df.drop(GROUP, CHUNK)
-
-
 def median(df: DataFrame, keys: list[str], value: str, chunk: Column, name: str) -> DataFrame:
     """Exact median per group, from counts of distinct values and their running totals.
 
@@ -129,13 +129,13 @@ def median(df: DataFrame, keys: list[str], value: str, chunk: Column, name: str)
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumnRenamed("__value", value)
     )
-    ranked = running_before(grouped(counted, keys, chunk), [value], __start="__n")
-    sizes = counted.groupBy(_group(keys)).agg(F.sum("__n").alias("__size"))
+    ranked = running_before(
+        chunked(counted, chunk), keys, [value], {"__start": "__n"}, {"__size": "__n"}
+    )
     low, high = F.floor((F.col("__size") - 1) / 2), F.floor(F.col("__size") / 2)
     end = F.col("__start") + F.col("__n")
     holds = [(F.col("__start") <= at) & (at < end) for at in (low, high)]
-    hits = ranked.join(sizes, GROUP).where(holds[0] | holds[1])
-    return hits.groupBy(*keys).agg(
+    return ranked.where(holds[0] | holds[1]).groupBy(*keys).agg(
         ((F.max(F.when(holds[0], F.col(value))) + F.max(F.when(holds[1], F.col(value)))) / 2)
         .alias(name)
     )

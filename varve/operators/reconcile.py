@@ -154,11 +154,11 @@ def compare_sorted(
         F.sum("__l").alias("__l"), F.sum("__r").alias("__r")
     )
     order = approx or ["__l"]
-    chunked = (
+    chunks = (
         ordered.range_chunks(runs, exact, order) if chunk is None
-        else ordered.grouped(runs, exact, chunk)
+        else ordered.chunked(runs, chunk)
     )
-    placed = ordered.running_before(chunked, order, __l0="__l", __r0="__r")
+    placed = ordered.running_before(chunks, exact, order, {"__l0": "__l", "__r0": "__r"})
 
     # one row per run and side: (side, first position, position after the last)
     sides = F.filter(
@@ -172,19 +172,19 @@ def compare_sorted(
     vector = F.struct(F.lit(1).alias("__row"), *[F.col(c) for c in approx]).alias("__v")
     # cut at block borders
     pieces = (
-        placed.select(ordered.GROUP, vector, F.inline(sides))
+        placed.select(*exact, vector, F.inline(sides))
         .select("*", F.explode(F.sequence(
             F.floor(F.col("__from") / block), F.floor((F.col("__to") - 1) / block)
         )).alias("__block"))
         .select(
-            ordered.GROUP, "__block", "__side", "__v",
+            *exact, "__block", "__side", "__v",
             F.greatest(F.col("__from"), F.col("__block") * block).alias("__from"),
             F.least(F.col("__to"), (F.col("__block") + 1) * block).alias("__to"),
         )
     )
     # starts of runs, and ends, where a side may have no further run
     events = pieces.select(
-        ordered.GROUP, "__block", "__side",
+        *exact, "__block", "__side",
         F.inline(F.array(
             F.struct(F.col("__from").alias("__at"), F.lit(1).alias("__opens"),
                      F.col("__v").alias("__v")),
@@ -192,7 +192,7 @@ def compare_sorted(
                      F.lit(None).cast(pieces.schema["__v"].dataType).alias("__v")),
         )),
     )
-    spot = Window.partitionBy(ordered.GROUP, "__block").orderBy("__at", "__opens")
+    spot = Window.partitionBy(*exact, "__block").orderBy("__at", "__opens")
     so_far = spot.rowsBetween(Window.unboundedPreceding, 0)
 
     def standing(side: str) -> Column:
@@ -201,7 +201,7 @@ def compare_sorted(
         return F.last(mark, ignorenulls=True).over(so_far)["run"]
 
     spans = events.select(
-        ordered.GROUP, standing("l").alias("a"), standing("r").alias("b"),
+        *exact, standing("l").alias("a"), standing("r").alias("b"),
         (F.lead("__at").over(spot) - F.col("__at")).alias("copies"),
     ).where((F.col("copies") > 0) & (F.col("a").isNotNull() | F.col("b").isNotNull()))
     paired = F.col("a").isNotNull() & F.col("b").isNotNull()
@@ -213,7 +213,7 @@ def compare_sorted(
     return (
         spans.where(~equal)
         .groupBy(
-            *[F.col(f"{ordered.GROUP}.{c}").alias(c) for c in exact],
+            *exact,
             *[F.col(f"a.{c}").alias(f"left_{c}") for c in approx],
             *[F.col(f"b.{c}").alias(f"right_{c}") for c in approx],
             F.when(F.col("a").isNull(), "right only").when(F.col("b").isNull(), "left only")

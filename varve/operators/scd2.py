@@ -188,12 +188,12 @@ def from_log(log: DataFrame, spec: Spec = CUSTOMER, chunk: Column | None = None)
         *spec.keys, *dict.fromkeys([*order, spec.effective]), state.alias("__state")
     )
     keys = list(spec.keys)
-    chunked = (
-        ordered.range_chunks(rows, keys, order) if chunk is None else ordered.grouped(rows, keys, chunk)
+    chunks = (
+        ordered.range_chunks(rows, keys, order) if chunk is None else ordered.chunked(rows, chunk)
     )
-    before = ordered.previous(chunked, order, "__state", "__prev")
+    before = ordered.previous(chunks, keys, order, "__state", "__prev")
     changed = before.where(~F.col("__state").eqNullSafe(F.col("__prev.value"))).drop("__prev")
-    until = ordered.following(changed, order, spec.effective, "__next")
+    until = ordered.following(changed, keys, order, spec.effective, "__next")
     return until.where(F.col("__state").isNotNull()).select(
         *spec.keys,
         *[F.col(f"__state.{c}").alias(c) for c in spec.tracked],
