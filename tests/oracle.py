@@ -23,6 +23,18 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+DUCK_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+    "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def types(df) -> dict[str, str]:
+    """Spark column types under their DuckDB names."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return {name: DUCK_TYPES.get(kind, kind.upper()) for name, kind in kinds.items()}
+
+
 def plain(value):
     """A hashable value that does not hide a difference in type family."""
     if isinstance(value, (list, tuple)):
@@ -45,7 +57,7 @@ def assert_same(df, con, sql: str) -> int:
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     expected = cursor.fetchall()
-    assert sorted(df.columns) == sorted(names)
+    assert types(df) == {d[0]: str(d[1]) for d in cursor.description}
     actual = df.collect()
     left, right = bag(df.columns, actual), bag(names, expected)
     only_spark, only_sql = left - right, right - left

@@ -42,6 +42,17 @@ def test_stored_rows(spark):
     assert tables.result_rows(spark.range(10), "r", limit=4).count() == 4
 
 
+def test_results_are_stored_and_compared(spark, tmp_path):
+    place = str(tmp_path / "results")
+    tables.store_result(spark.range(3), "a", place)
+    tables.store_result(spark.range(5), "a", place)
+    tables.store_result(spark.range(2).selectExpr("id", "id / 3 AS x"), "b", place)
+    stored = tables.stored_results(spark, place)
+    assert {r["query"]: r["count"] for r in stored.groupBy("query").count().collect()} == {"a": 5, "b": 2}
+    outcomes = suite.run_suite(spark, {"a": lambda: spark.range(5), "b": lambda: spark.range(2)})
+    assert {r.verdict for r in suite.verdicts(outcomes, stored, stored).collect()} == {"PASSED"}
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "query STRING, ordinal INT, cells ARRAY<STRING>")
 

@@ -37,21 +37,33 @@ def fingerprint(df: DataFrame) -> DataFrame:
     Adds a 64-bit hash of every row as DECIMAL(38,0). The hash skips NULLs and depends on
     column types, so compare it between like schemas; ``fingerprint_md5`` has neither limit.
     """
-    return _fingerprint(df, row_hash(df).cast("decimal(38,0)"))
+    return _fingerprint(df, _xx_number(df))
 
 
 def fingerprint_md5(df: DataFrame) -> DataFrame:
     """Like ``fingerprint``, from md5 numbers that any SQL engine can compute."""
-    return _fingerprint(df, md5_number(row_text(df)))
+    return _fingerprint(df, _md5_number(df))
+
+
+def _xx_number(df: DataFrame) -> Column:
+    return row_hash(df).cast("decimal(38,0)")
+
+
+def _md5_number(df: DataFrame) -> Column:
+    return md5_number(row_text(df))
 
 
 def _fingerprint(df: DataFrame, number: Column) -> DataFrame:
     columns = F.array(*[F.lit(c) for c in content_columns(df)])
     return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(number).cast("decimal(38,0)").alias("hash_sum")
+        F.count(F.lit(1)).alias("rows"), _hash_sum(number)
     ).select("rows", "hash_sum", columns.alias("columns"))
 
 
+def _hash_sum(number: Column) -> Column:
+    return F.sum(number).cast("decimal(38,0)").alias("hash_sum")
+
+
 def fingerprints(tables: dict[str, DataFrame], method=fingerprint) -> DataFrame:
     """One fingerprint row per table."""
     return _stack(_named(method(df), name) for name, df in tables.items())
@@ -161,18 +173,21 @@ def schema_report(df: DataFrame, table: str) -> DataFrame:
     """One row per declared column: its type, the actual one, and the values that miss it.
 
     ``uncastable`` counts values the declared type cannot hold, so it also tells whether a
-    conversion would lose rows. Absent columns have no actual type. One scan per table.
+    conversion would lose rows. Absent columns have no actual type. One scan per table, of
+    the columns whose type differs.
     """
     present = {f.name: f.dataType for f in df.schema.fields}
     declared = schema.struct(table).fields
-    checked = [
-        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
-        if f.name in present else F.lit(None).cast("bigint")
-        for f in declared
-    ]
-    totals = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[c.alias(f"__{i}") for i, c in enumerate(checked)]
-    )
+
+    def uncastable(f: T.StructField) -> Column:
+        if f.name not in present:
+            return F.max(F.lit(None).cast("bigint"))
+        if present[f.name] == f.dataType:
+            return F.coalesce(F.max(F.lit(0).cast("bigint")), F.lit(0))
+        value = F.col(f.name)
+        return F.count_if(value.isNotNull() & value.try_cast(f.dataType).isNull())
+
+    totals = df.agg(*[uncastable(f).alias(f"__{i}") for i, f in enumerate(declared)])
     entries = []
     for i, f in enumerate(declared):
         want = _type_name(f.dataType.simpleString())
@@ -218,24 +233,40 @@ def _profile_measure(field: T.StructField) -> tuple[str, Column]:
     return "value", column
 
 
+def _profile(df: DataFrame) -> tuple[list[Column], Column]:
+    """The sums a profile needs, and the array of its rows over their result."""
+    measures = [(f.name, *_profile_measure(f)) for f in df.schema.fields]
+    sums = [
+        F.sum(m.cast("decimal(38,2)")).cast("decimal(38,2)").alias(f"__{i}")
+        for i, (_, _, m) in enumerate(measures)
+    ]
+    entries = [
+        F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("measure"),
+                 F.col(f"__{i}").alias("total"))
+        for i, (name, kind, _) in enumerate(measures)
+    ]
+    return sums, F.array(*entries)
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: ``(column_name, measure, rows, total)``.
 
     ``total`` adds up the values, the text lengths or the days since 1970-01-01, in one
     aggregate over the table.
     """
-    measures = [(f.name, *_profile_measure(f)) for f in df.schema.fields]
-    totals = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.sum(m.cast("decimal(38,2)")).cast("decimal(38,2)").alias(f"__{i}")
-          for i, (_, _, m) in enumerate(measures)],
+    sums, entries = _profile(df)
+    totals = df.agg(F.count(F.lit(1)).alias("rows"), *sums)
+    return totals.select("rows", F.inline(entries)).select(
+        "column_name", "measure", "rows", "total"
     )
-    entries = [
-        F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("measure"),
-                 F.col("rows").alias("rows"), F.col(f"__{i}").alias("total"))
-        for i, (name, kind, _) in enumerate(measures)
-    ]
-    return totals.select(F.inline(F.array(*entries)))
+
+
+def table_facts(df: DataFrame, method=fingerprint) -> DataFrame:
+    """Fingerprint and column profile from a single scan: ``(rows, hash_sum, profile)``."""
+    number = _md5_number(df) if method is fingerprint_md5 else _xx_number(df)
+    sums, entries = _profile(df)
+    totals = df.agg(F.count(F.lit(1)).alias("rows"), _hash_sum(number), *sums)
+    return totals.select("rows", "hash_sum", entries.alias("profile"))
 
 
 # --- check list -------------------------------------------------------------------------
@@ -262,15 +293,15 @@ def check(frame: DataFrame, key: str, title: str, bad: Column, detail: Column) -
 
 def quality_checks(tables: dict[str, DataFrame], counts_expected: dict[str, Column]) -> DataFrame:
     """Row counts, keys, relations and schemas of a set of tables as a check list."""
-    from varve.operators.layers import row_counts
-
-    counts = count_report(row_counts(tables), counts_expected)
+    keys = key_reports(tables)
+    # the key report has counted the rows
+    counts = count_report(keys.select("table_name", "rows"), counts_expected)
     mismatch = F.col("rows") != F.col("expected_rows")
     table_rows = F.concat_ws(" ", "table_name", F.col("rows").cast("string"), F.lit("of"),
                              F.col("expected_rows").cast("string"))
     return _stack([
         check(counts, "row_counts", "Row counts", mismatch, table_rows),
-        check(key_reports(tables), "primary_keys", "Primary keys",
+        check(keys, "primary_keys", "Primary keys",
               ~(F.col("pk_unique") & F.col("pk_not_null")), F.col("table_name")),
         check(orphan_reports(tables), "foreign_keys", "Foreign keys", F.col("orphans") > 0,
               F.concat_ws(" ", "child", F.col("orphans").cast("string"))),

@@ -310,6 +310,16 @@ register(
     ).drop("columns"),
     _views(*ALL) + " UNION ALL ".join(_md5_sql(t) for t in ALL),
 )
+register(
+    "table_facts",
+    lambda spark, sf_dir: quality.table_facts(
+        layers.conform(_raw_complete(spark, sf_dir, "lineitem"), "lineitem"),
+        quality.fingerprint_md5,
+    ).select("rows", "hash_sum", F.inline("profile")),
+    _views("lineitem") + f"""
+    SELECT p.rows, m.hash_sum, p.column_name, p.measure, p.total
+    FROM ({_profile_sql('lineitem')}) p, ({_md5_sql('lineitem')}) m""",
+)
 # Spark's xxhash64 has no counterpart in DuckDB
 register(
     "fingerprint_xx",
@@ -403,14 +413,14 @@ register(
     "gold_matches_recomputed",
     _gold_check,
     with_views(GOLD_TABLES, f"""
-        SELECT count(*) AS left_rows, count(*) AS right_rows, 0 AS only_left, 0 AS only_right,
-               true AS equal FROM ({GOLD_SQL})"""),
+        SELECT count(*) AS left_rows, count(*) AS right_rows,
+               CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, true AS equal FROM ({GOLD_SQL})"""),
 )
 
 _EDITED_ORDERS = """
     o_orderkey, o_custkey, o_orderstatus,
-    CASE WHEN o_orderkey % 997 = 5 THEN o_totalprice + CAST(1 AS DECIMAL(15,2))
-         ELSE o_totalprice END AS o_totalprice, o_orderpriority"""
+    CAST(CASE WHEN o_orderkey % 997 = 5 THEN o_totalprice + 1 ELSE o_totalprice END
+         AS DECIMAL(15,2)) AS o_totalprice, o_orderpriority"""
 _ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
 
 

@@ -144,3 +144,16 @@ def result_rows(df: DataFrame, query: str, limit: int = STORED_ROWS) -> DataFram
         F.lit(query).alias("query"), "ordinal",
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"), "cells",
     )
+
+
+def store_result(df: DataFrame, query: str, location: str, limit: int = STORED_ROWS) -> None:
+    """Store a query result below a location, replacing the last one of the query."""
+    result_rows(df, query, limit).drop("query").write.mode("overwrite").parquet(
+        f"{location.rstrip('/')}/query={query}"
+    )
+
+
+def stored_results(spark: SparkSession, location: str) -> DataFrame:
+    """All stored results below a location: ``(query, ordinal, columns, cells)``."""
+    kind = "ordinal BIGINT, columns ARRAY<STRING>, cells ARRAY<STRING>, query STRING"
+    return spark.read.schema(kind).parquet(location).select("query", "ordinal", "columns", "cells")
