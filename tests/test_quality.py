@@ -83,6 +83,23 @@ def test_md5_fingerprint_by_hand(spark):
         quality.fingerprint_md5(df.withColumn("d", F.lit(1.5)))
 
 
+def test_timestamps_keep_their_text_in_any_zone(spark):
+    from varve.functions.encoding import timestamp_text
+
+    # neither hour exists on these days in Berlin and Los Angeles
+    texts = ["2024-03-31 02:30:00.100000", "2024-03-10 02:30:07.000000", "1969-12-31 23:59:59.999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").selectExpr(
+        "t", "CAST(t AS TIMESTAMP_NTZ) AS ts")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("Europe/Berlin", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = df.select("t", timestamp_text(F.col("ts"), " ").alias("x")).collect()
+            assert all(r.t == r.x for r in got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 @pytest.mark.parametrize("method", [quality.fingerprint, quality.fingerprint_md5])
 def test_fingerprints_ignore_order_and_metadata_only(spark, method):
     df = spark.range(100).select("id", F.concat(F.lit("n"), "id").alias("name"))

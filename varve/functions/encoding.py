@@ -43,10 +43,23 @@ def canonical_text(field: T.StructField) -> Column:
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         raise TypeError(f"{field.name}: cast floats to DECIMAL first, engines print them differently")
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return timestamp_text(column, " ")
     return column.cast("string")
 
 
+def timestamp_text(column: Column, separator: str) -> Column:
+    """Date, separator and time with six decimals.
+
+    Built from the plain text of the value: formatting functions would first move a timestamp
+    without time zone into the session's zone, where an hour may not exist.
+    """
+    text = column.cast("string")
+    return F.concat(
+        F.substring(text, 1, 10), F.lit(separator), F.substring(text, 12, 8), F.lit("."),
+        F.rpad(F.substring(text, 21, 6), 6, "0"),
+    )
+
+
 def row_text(df: DataFrame) -> Column:
     """One text per row that no other row content produces.
 

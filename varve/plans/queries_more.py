@@ -73,8 +73,9 @@ _EVENT_SPEC = scd2.Spec(sequence=("ts", "seq"))
 
 def _event_dimension(spark, sf_dir) -> DataFrame:
     log = standin.derived(standin.parquet(spark, sf_dir, "events"), _EVENT_CHANGE)
-    # minutes follow the event order, so the busiest user is spread over as many tasks
-    return scd2.from_log(log, _EVENT_SPEC, chunk=F.date_trunc("minute", "ts"))
+    # Minutes follow the event order, so the busiest user is spread over as many tasks. As
+    # text they do not depend on the session's time zone and its clock changes.
+    return scd2.from_log(log, _EVENT_SPEC, chunk=F.substring(F.col("ts").cast("string"), 1, 16))
 
 
 _EVENT_LOG_SQL = (

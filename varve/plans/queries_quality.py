@@ -145,9 +145,9 @@ _RELATIONS = (*schema.FOREIGN_KEYS, *schema.EXTRA_FOREIGN_KEYS)
 def _short_parents(spark, sf_dir) -> dict[str, DataFrame]:
     """The tables with some parents removed and some child keys NULL, so orphans exist."""
     tables = dict(standin.load(spark, sf_dir).items())
-    tables["customer"] = tables["customer"].where("c_custkey % 10 <> 3")
+    tables["customer"] = tables["customer"].where("c_mktsegment <> 'MACHINERY'")
     tables["supplier"] = tables["supplier"].withColumn(
-        "s_nationkey", F.expr("CASE WHEN s_suppkey % 4 <> 1 THEN s_nationkey END")
+        "s_nationkey", F.expr("CASE WHEN s_acctbal < 8000 THEN s_nationkey END")
     )
     return tables
 
@@ -174,8 +174,8 @@ register(
     "quality_fk_orphans_found",
     lambda spark, sf_dir: quality.orphan_reports(_short_parents(spark, sf_dir), _RELATIONS),
     _views(*ALL) + _orphans_sql(
-        "AND p.c_custkey % 10 <> 3",
-        lambda r: "CASE WHEN s_suppkey % 4 <> 1 THEN s_nationkey END"
+        "AND p.c_mktsegment <> 'MACHINERY'",
+        lambda r: "CASE WHEN s_acctbal < 8000 THEN s_nationkey END"
         if r.child == "supplier" else r.child_column,
     ),
 )
@@ -417,6 +417,8 @@ register(
                CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, true AS equal FROM ({GOLD_SQL})"""),
 )
 
+_LOST_ORDERS = "o_totalprice > 490000 AND o_orderstatus = 'P'"
+_DOUBLED_ORDERS = "o_totalprice < 6000 AND o_orderpriority = '5-LOW'"
 _EDITED_ORDERS = """
     o_orderkey, o_custkey, o_orderstatus,
     CAST(CASE WHEN o_orderkey % 997 = 5 THEN o_totalprice + 1 ELSE o_totalprice END
@@ -426,13 +428,13 @@ _ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpri
 
 def _edited(orders: DataFrame) -> DataFrame:
     """The orders with some rows changed, some lost and some doubled."""
-    changed = orders.where("o_orderkey % 1000 <> 7").select(
+    changed = orders.where(f"NOT ({_LOST_ORDERS})").select(
         "o_orderkey", "o_custkey", "o_orderstatus",
         F.expr("CASE WHEN o_orderkey % 997 = 5 THEN o_totalprice + 1 ELSE o_totalprice END")
         .cast("decimal(15,2)").alias("o_totalprice"),
         "o_orderpriority",
     )
-    return changed.unionByName(changed.where("o_orderkey % 800 = 1"))
+    return changed.unionByName(changed.where(_DOUBLED_ORDERS))
 
 
 def _difference(spark, sf_dir):
@@ -445,8 +447,8 @@ register(
     _difference,
     _views("orders").rstrip() + f""",
     a AS (SELECT {_ORDER_COLUMNS} FROM v_orders),
-    c AS (SELECT {_EDITED_ORDERS} FROM v_orders WHERE o_orderkey % 1000 <> 7),
-    b AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE o_orderkey % 800 = 1)
+    c AS (SELECT {_EDITED_ORDERS} FROM v_orders WHERE NOT ({_LOST_ORDERS})),
+    b AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE {_DOUBLED_ORDERS})
     SELECT {_ORDER_COLUMNS}, count(*) AS only_left, CAST(0 AS BIGINT) AS only_right
     FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL
     UNION ALL
@@ -461,21 +463,21 @@ _NUDGED = """
 
 def _by_key(spark, sf_dir):
     left = standin.load(spark, sf_dir).customer.select("c_custkey", "c_acctbal", "c_mktsegment")
-    right = left.where("c_custkey % 100 <> 9").select(
+    right = left.where("c_acctbal > -900").select(
         "c_custkey", F.expr(_NUDGED).alias("c_acctbal"),
         F.expr("CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END").alias("c_mktsegment"),
     )
-    return reconcile.compare_by_key(left.where("c_custkey % 100 <> 8"), right, ["c_custkey"])
+    return reconcile.compare_by_key(left.where("c_acctbal < 9900"), right, ["c_custkey"])
 
 
 register(
     "reconcile_tolerant",
     _by_key,
     _views("customer").rstrip() + f""",
-    a AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM v_customer WHERE c_custkey % 100 <> 8),
+    a AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM v_customer WHERE c_acctbal < 9900),
     b AS (SELECT c_custkey, {_NUDGED} AS c_acctbal,
                  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
-          FROM v_customer WHERE c_custkey % 100 <> 9),
+          FROM v_customer WHERE c_acctbal > -900),
     j AS (SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey,
                  CASE WHEN b.c_custkey IS NULL THEN 'left only'
                       WHEN a.c_custkey IS NULL THEN 'right only' ELSE 'differs' END AS status,
@@ -489,6 +491,7 @@ register(
     FROM j WHERE status <> 'differs' OR d1 OR d2""",
 )
 
+_LOST_LINES = "l_quantity = 50 AND l_discount = 0 AND l_tax = 0.08"
 _SHIFTED = """
     CAST(l_extendedprice + CASE l_orderkey % 50 WHEN 0 THEN 0.01 WHEN 1 THEN 5.00 ELSE 0.00 END
          AS DECIMAL(15,2))"""
@@ -497,7 +500,7 @@ _SHIFTED = """
 def _sorted_pairs(spark, sf_dir):
     lines = standin.load(spark, sf_dir).lineitem
     left = lines.select("l_returnflag", "l_extendedprice", "l_tax")
-    right = lines.where("l_orderkey % 5000 <> 11").select(
+    right = lines.where(f"NOT ({_LOST_LINES})").select(
         "l_returnflag", F.expr(_SHIFTED).alias("l_extendedprice"), "l_tax"
     )
     # the whole price is a rule that follows the sort order: no range shuffle is needed
@@ -514,7 +517,7 @@ register(
     b AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_tax)
                     AS at
           FROM (SELECT l_returnflag, {_SHIFTED} AS l_extendedprice, l_tax FROM v_lineitem
-                WHERE l_orderkey % 5000 <> 11)),
+                WHERE NOT ({_LOST_LINES}))),
     j AS (SELECT coalesce(a.l_returnflag, b.l_returnflag) AS l_returnflag,
                  a.l_extendedprice AS left_l_extendedprice, a.l_tax AS left_l_tax,
                  b.l_extendedprice AS right_l_extendedprice, b.l_tax AS right_l_tax,

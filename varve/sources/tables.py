@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varve.functions.encoding import timestamp_text
 from varve.schema import Layout
 
 # Fixed value: largest result the suite stores per query.
@@ -126,7 +127,7 @@ def unreadable(spark: SparkSession, names: Iterable[str]) -> list[tuple[str, str
 def _stored_text(field: T.StructField):
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        return timestamp_text(column, "T")
     return column.cast("string")
 
 
