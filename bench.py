@@ -47,13 +47,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     registry.load()
     chosen = [(n, True) for n in COLLECTED] + [(n, False) for n in DROPPED]
-    runs: dict[str, list[float]] = {name: [] for name, _ in chosen}
-    for turn in range(repeats + 1):
-        for name, collect in chosen:
-            spent = timed(registry.QUERIES[name], spark, sf_dir, collect)
-            if turn:  # the first turn warms the code and the file cache
-                runs[name].append(spent)
-    times = {name: round(statistics.median(spent), 4) for name, spent in runs.items()}
+    for name, collect in chosen:  # warm the JVM, the code and the file cache
+        timed(registry.QUERIES[name], spark, sf_dir, collect)
+    times: dict[str, float] = {}
+    for name, collect in chosen:
+        spent = [timed(registry.QUERIES[name], spark, sf_dir, collect) for _ in range(repeats)]
+        times[name] = round(statistics.median(spent), 4)
     total = sum(v for k, v in times.items() if k.startswith("tpch_"))
     print(json.dumps({
         "metric": "total of 22 queries, median of repeats", "value": round(total, 4), "unit": "sec",

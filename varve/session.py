@@ -15,6 +15,8 @@ DEFAULTS = {
     # Split a hot join key even where that costs one more exchange above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # A session that runs many queries keeps their compiled code (the default keeps 100).
+    "spark.sql.codegen.cache.maxEntries": "1000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
