@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import piece_codec, token_counts
+from varve.llm import divergence, piece_codec, token_counts
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -21,9 +21,14 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path(PIECES), keep=False)
 
 
+def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_piece_codec": op4_piece_codec,
+    "op6_divergence": op6_divergence,
 }
 
 ORACLES: dict[str, str] = {}
