@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import divergence, piece_codec, token_counts
+from varve.llm import divergence, packing, piece_codec, token_counts
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +26,15 @@ def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(documents(spark, sf_dir))
 
 
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTES), keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_piece_codec": op4_piece_codec,
     "op6_divergence": op6_divergence,
+    "op8_best_two_fit": op8_best_two_fit,
 }
 
 ORACLES: dict[str, str] = {}
