@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import divergence, packing, piece_codec, token_counts
+from varve.llm import divergence, packing, piece_codec, token_counts, toxicity
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -26,6 +26,11 @@ def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTES), keep_ids=False)
 
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_piece_codec": op4_piece_codec,
     "op6_divergence": op6_divergence,
+    "op7_toxicity": op7_toxicity,
     "op8_best_two_fit": op8_best_two_fit,
 }
 
