@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import divergence, packing, piece_codec, token_counts, toxicity
+from varve.llm import block_topk, divergence, packing, piece_codec, token_counts, toxicity
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path(PIECES), keep=False)
 
 
+def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(documents(spark, sf_dir))
 
@@ -38,9 +42,27 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_piece_codec": op4_piece_codec,
+    "op5_block_topk": op5_block_topk,
     "op6_divergence": op6_divergence,
     "op7_toxicity": op7_toxicity,
     "op8_best_two_fit": op8_best_two_fit,
 }
 
-ORACLES: dict[str, str] = {}
+OP5_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op5_block_topk": OP5_SQL}
