@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import block_topk, divergence, packing, piece_codec, token_counts, toxicity
+from varve.llm import anchors, block_topk, divergence, packing, piece_codec, token_counts, toxicity
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -39,6 +39,10 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTES), keep_ids=False)
 
 
+def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.dedup(documents(spark, sf_dir), keep=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_piece_codec": op4_piece_codec,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_divergence": op6_divergence,
     "op7_toxicity": op7_toxicity,
     "op8_best_two_fit": op8_best_two_fit,
+    "op10_anchors": op10_anchors,
 }
 
 OP5_SQL = """
