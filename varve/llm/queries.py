@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import anchors, block_topk, divergence, packing, piece_codec, token_counts, toxicity
+from varve.llm import anchors, block_topk, divergence, packing, piece_codec, suffixes, token_counts, toxicity
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(documents(spark, sf_dir), keep=False)
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path(PIECES), keep=False)
 
@@ -45,6 +49,7 @@ def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffixes": op2_suffixes,
     "op4_piece_codec": op4_piece_codec,
     "op5_block_topk": op5_block_topk,
     "op6_divergence": op6_divergence,
