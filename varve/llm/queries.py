@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import anchors, block_topk, divergence, packing, piece_codec, suffixes, token_counts, toxicity
+from varve.llm import anchors, block_topk, divergence, jaccard_join, packing, piece_codec, suffixes, token_counts, toxicity
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(documents(spark, sf_dir), keep=False)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(documents(spark, sf_dir))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path(PIECES), keep=False)
 
@@ -50,6 +54,7 @@ def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffixes": op2_suffixes,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_piece_codec": op4_piece_codec,
     "op5_block_topk": op5_block_topk,
     "op6_divergence": op6_divergence,
