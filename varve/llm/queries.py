@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import anchors, block_topk, divergence, jaccard_join, packing, piece_codec, suffixes, token_counts, toxicity
+from varve.llm import anchors, block_topk, divergence, jaccard_join, maxent_lm, packing, piece_codec, suffixes, token_counts, toxicity
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -47,6 +47,10 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTES), keep_ids=False)
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(documents(spark, sf_dir))
+
+
 def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.dedup(documents(spark, sf_dir), keep=False)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_divergence": op6_divergence,
     "op7_toxicity": op7_toxicity,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_maxent_lm": op9_maxent_lm,
     "op10_anchors": op10_anchors,
 }
 
