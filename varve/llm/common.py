@@ -25,11 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_and_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id as ``doc_id`` and the text as UTF-8 bytes, a null text as no bytes. Other columns go."""
+def id_and_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id as ``doc_id`` and the text as UTF-8 bytes, a null text as no bytes. Other columns go,
+    but those named in ``carry`` stay as the fields of a struct ``carried``."""
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
 
 

@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,10 @@ def frequency_class(table: pa.Table) -> pa.Table:
 def sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
     """doc_id, n, and where the set may be similar to another: node, alone (shingles of no other
     document) and shared (the others in the global order, packed)."""
-    dealt = deal(docs, doc_id, text)
+    keyed = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key")
+    )
+    dealt = deal(keyed, carry=("text_key",))
     buckets = BUCKETS * partitions(docs.sparkSession)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -85,7 +89,7 @@ def sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) ->
         return send(table.column("s")[0].as_py(), keys, buckets, {"keys": lambda row: short[row].tobytes()})
 
     def order(table: pa.Table, replies: pa.Table) -> pa.Table:
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "alone": pa.int64(), "shared": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "alone": pa.int64(), "shared": pa.binary(), "text_key": pa.int64()}
         if not table.num_rows:
             return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
         part = slice_of(table)
@@ -112,12 +116,13 @@ def sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) ->
         return pa.table({
             "doc_id": pa.array(part.ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "node": pa.array(node.view(np.int64), pa.int64(), mask=~able),
             "alone": pa.array(alone, pa.int64()), "shared": pa.array(shared, pa.binary()),
+            "text_key": pc.struct_field(table.column("carried").take(part.order).combine_chunks(), "text_key"),
         })
 
     known = dealt.groupBy("s").applyInArrow(ask, "b int, s int, keys binary").groupBy("b").applyInArrow(
         frequency_class, "s int, b int, classes binary"
     )
-    return dealt.groupBy("s").cogroup(known.groupBy("s")).applyInArrow(order, "doc_id long, n long, node long, alone long, shared binary")
+    return dealt.groupBy("s").cogroup(known.groupBy("s")).applyInArrow(order, "doc_id long, n long, node long, alone long, shared binary, text_key long")
 
 
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
@@ -250,11 +255,12 @@ def second_pairs(prefix: DataFrame, of: DataFrame, percent: int) -> DataFrame:
 def similar(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id.
+    """Per row: doc_id, n_shingles, component_id, text_key, component_key.
 
     A row's set holds the distinct sequences of ``shingle`` words of its text, A-Z lower-cased; a
     shorter text is one sequence. Rows are linked when 100 * intersection >= percent * union of
-    their sets, and ``component_id`` is the smallest id that links reach. A null or empty text has an
+    their sets, and ``component_id`` is the smallest id that links reach. ``text_key`` is the xxhash64 of
+    the text and ``component_key`` names the component, also where ids repeat. A null or empty text has an
     empty set and is linked with nothing. A null id counts as larger than any other and is shown as
     null; rows with the same id are linked by their texts alone; an empty table gives no rows; other
     columns are not read.
@@ -269,13 +275,15 @@ def similar(
     near = linked(nodes, first_pairs(prefix), percent).select("a", "b").checkpoint()
     rest = linked(nodes, second_pairs(prefix, components(near), percent), percent).select("a", "b").checkpoint()
     of = components(near.unionByName(rest))
-    members = rows.where("node is not null").select("doc_id", "n", "node").join(of, "node", "left").select(
-        "doc_id", "n", F.coalesce("component", "node").alias("component")
+    members = rows.where("node is not null").select("doc_id", "n", "node", "text_key").join(of, "node", "left").select(
+        "doc_id", "n", F.coalesce("component", "node").alias("component"), "text_key"
     )
     least = members.groupBy("component").agg(F.min("doc_id").alias("least"))
-    together = members.join(least, "component").select("doc_id", "n", "least")
-    single = rows.where("node is null").select("doc_id", "n", F.col("doc_id").alias("least"))
+    together = members.join(least, "component").select("doc_id", "n", "least", "text_key", "component")
+    single = rows.where("node is null").select(
+        "doc_id", "n", F.col("doc_id").alias("least"), "text_key", F.xxhash64("doc_id", "text_key").alias("component")
+    )
     return together.unionByName(single).select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.nullif("least", F.lit(NO_ID)).alias("component_id"),
+        F.nullif("least", F.lit(NO_ID)).alias("component_id"), "text_key", F.col("component").alias("component_key"),
     )

@@ -23,7 +23,7 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar(documents(spark, sf_dir))
+    return jaccard_join.similar(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

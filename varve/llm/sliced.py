@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +23,24 @@ from varve.llm.common import SLICE_BYTES, Slice, id_and_bytes, partitions, slice
 NO_ID = (1 << 63) - 1
 
 
-def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
-    """s, doc_id, data: whole texts with the number of their slice."""
-    rows = id_and_bytes(docs, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+def deal(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SLICE_BYTES, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """s, doc_id, data: whole texts with the number of their slice; and carried, a struct of the
+    columns named in ``carry``, if any."""
+    rows = id_and_bytes(docs, doc_id, text, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     count = max(partitions(docs.sparkSession), total // size + 1)
-    return rows.select(F.pmod(F.xxhash64("doc_id", "data"), F.lit(count)).cast("int").alias("s"), "doc_id", "data")
+    return rows.withColumn("s", F.pmod(F.xxhash64("doc_id", "data"), F.lit(count)).cast("int"))
 
 
 def slice_of(table: pa.Table) -> Slice:
     """The rows of a slice as one, sorted by id and text."""
-    ordered = table.select(["doc_id", "data"]).sort_by([("doc_id", "ascending"), ("data", "ascending")])
-    batch = ordered.combine_chunks().to_batches()[0]
+    order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("data", "ascending")])
+    batch = table.select(["doc_id", "data"]).take(order).combine_chunks().to_batches()[0]
     whole = next(slices(batch, size=1 << 62))
     whole.ids = np.array(whole.ids, dtype=np.int64)
+    whole.order = order
     return whole
 
 

@@ -124,22 +124,25 @@ def _smaller(table: pa.Table, length: int) -> pa.Table:
 
 def dedup(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep`` kept (binary).
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``keep`` kept (the text left,
+    without the rest of a character that was cut) and carried (a struct of the columns in ``carry``).
 
     A byte goes if a string of ``length`` bytes over it also starts in a row with a smaller id; a
     span is a maximal run of such bytes. A null text is empty; a null id counts as larger than any
     other; rows with the same id leave each other alone and stay as they are; an empty table gives
-    no rows; other columns are not read.
+    no rows; other columns than those
+    in ``carry`` are not read.
     """
     if length < PERIOD + 8:
         raise ValueError(f"length must be {PERIOD + 8} or more")
-    dealt = deal(docs, doc_id, text, SLICE)
+    dealt = deal(docs, doc_id, text, SLICE, carry)
     buckets = BUCKETS * partitions(docs.sparkSession)
     asked = (("b", pa.int32()), ("s", pa.int32()), ("text", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()))
     shown = [
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-        ("kept_sha256", pa.string()), ("kept", pa.binary()),
+        ("kept_sha256", pa.string()), ("kept", pa.string()),
     ][:6 if keep else 5]
 
     def empty(columns) -> pa.Table:
@@ -164,7 +167,7 @@ def dedup(
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return empty(shown)
+            return empty(shown if not carry else [*shown, ("carried", table.schema.field("carried").type)])
         own = Suffixes(slice_of(table), length)
         part = own.part
         gone = np.zeros(len(part.data), dtype=bool)
@@ -192,10 +195,12 @@ def dedup(
             spans.append(len(runs(out)[0]) if count else 0)
             digests.append(hashlib.sha256(kept).hexdigest())
             if keep:
-                texts.append(kept)
+                texts.append(kept.decode("utf-8", "ignore"))
         values = [part.ids, part.lengths, removed, spans, digests, texts]
         columns = {name: pa.array(value, kind) for (name, kind), value in zip(shown, values)}
         columns["doc_id"] = pa.array(part.ids, pa.int64(), mask=part.ids == NO_ID)
+        if carry:
+            columns["carried"] = table.column("carried").take(part.order)
         return pa.table(columns)
 
     # One plan: the texts are dealt once, all three visits to them read the same exchange.
@@ -204,5 +209,7 @@ def dedup(
         dealt.groupBy("s").cogroup(names.groupBy("s")).applyInArrow(ask_prefixes, "b int, s int, text binary, counts binary, ids binary")
         .groupBy("b").applyInArrow(lambda table: _smaller(table, length), ANSWER)
     )
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep else "")
+    if carry:
+        schema += f", carried {dealt.schema['carried'].dataType.simpleString()}"
     return dealt.groupBy("s").cogroup(names.unionByName(prefixes).groupBy("s")).applyInArrow(remove, schema)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,3 +199,22 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         "doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores under ``threshold``."""
+    at = np.flatnonzero(model.weights)
+    values, bias = model.weights[at], model.bias
+
+    def run(batches):
+        weights = np.zeros(1 << BITS)
+        weights[at] = values
+        own = Model(weights, bias)
+        for batch in batches:
+            data = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.string()), "").cast(pa.binary())
+            texts = pa.RecordBatch.from_arrays([pa.nulls(len(data), pa.int64()), data], ["doc_id", "data"])
+            scores = [logistic(own.logits(part)) for part in slices(texts)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
