@@ -28,6 +28,8 @@ LEAST_TEXTS = 4
 PRIOR = 0.5
 PENALTY = 0.02
 STEPS = 400
+#: Bytes of text whose n-grams are listed in whole at a time, and bytes scored at a time.
+FIT_BYTES, SCORE_BYTES = 1 << 19, 1 << 21
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 
@@ -115,7 +117,7 @@ def fit(
         for batch in batches:
             targets = batch.column("target").to_numpy()
             begin = 0
-            for part in slices(batch):
+            for part in slices(batch, FIT_BYTES):
                 owner, grams = hits(part, everything)
                 cuts = np.searchsorted(owner, np.arange(len(part) + 1))
                 yield pa.RecordBatch.from_pydict({
@@ -190,7 +192,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         weights[at] = values
         own = Model(weights, bias)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SCORE_BYTES):
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(part.ids, pa.int64()), "score": pa.array(logistic(own.logits(part)), pa.float64()),
                 })
@@ -213,7 +215,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
         for batch in batches:
             data = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.string()), "").cast(pa.binary())
             texts = pa.RecordBatch.from_arrays([pa.nulls(len(data), pa.int64()), data], ["doc_id", "data"])
-            scores = [logistic(own.logits(part)) for part in slices(texts)]
+            scores = [logistic(own.logits(part)) for part in slices(texts, SCORE_BYTES)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < threshold))
 
