@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.common import (
-    WORD_BASE, ensure_checkpoints, lowered, mixed, partitions, span_hashes, windows, word_hashes, word_spans,
+    BYTE_BASE, WORD_BASE, ensure_checkpoints, lowered, mixed, partitions, span_hashes, windows, word_hashes, word_spans,
 )
 from varve.llm.components import components
 from varve.llm.sliced import NO_ID, bucket_order, cells, deal, send, slice_of
@@ -99,9 +99,9 @@ def sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) ->
         for b, cell in zip(replies.column("b").to_pylist(), replies.column("classes").to_pylist()):
             classes[by_bucket[bounds[b]:bounds[b + 1]]] = np.frombuffer(zlib.decompress(cell), np.uint8)
         own = classes[number]
-        # a set is known by two sums over its hashes
+        # a set is known by two sums over its hashes, mixed in different ways
         every, borders = keys[number], np.searchsorted(texts, np.arange(len(part) + 1))
-        node = mixed(_sums(every, borders)) ^ _sums(mixed(every), borders)
+        node = mixed(_sums(every, borders) ^ np.uint64(BYTE_BASE)) ^ _sums(mixed(every ^ np.uint64(WORD_BASE)), borders)
         sizes = np.bincount(texts, minlength=len(part))
         alone = np.bincount(texts[own == 0], minlength=len(part))
         needed = -(-percent * sizes // 100)
