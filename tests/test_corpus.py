@@ -118,3 +118,13 @@ def test_read_classify_and_share(spark, tmp_path):
     assert [tuple(r) for r in corpus.shared_ratio(totals).collect()] == [
         ("cloud", "work", 2, 1, 0.6667)
     ]
+
+
+def test_docstrings_by_position():
+    source = (
+        'r"""Doc\nof two lines."""\n@wrap\nasync def f(\n    a,\n):\n    "one"  "two"\n    "no"\n'
+        'class C:\n\n    # note\n    """Doc."""\n    if a:\n        "no"\n    b"no"\ndef g():\n    b"no"\ndef h():\n    f"no"\n'
+    )
+    assert docstring_lines(source) == {1, 2, 7, 12}
+    assert code_line_count("") == 0 and docstring_lines("") == set()
+    assert code_line_count(source) == len([l for l in source.splitlines() if l.strip() and "#" not in l]) - 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_scd2 import GOLDEN
@@ -67,3 +68,17 @@ def test_dimension_from_a_stream_of_change_files(spark, tmp_path):
     assert store.applied() == [1, 2, 3]
     batch = scd2.from_log(changes.feed(spark), chunk=F.col("batch_id"))
     assert difference(store.dimension(), batch).isEmpty()
+
+
+def test_change_batches_cut_over_micro_batches(spark, tmp_path):
+    landing = str(tmp_path / "in")
+    changes.feed(spark).repartition(5).write.parquet(landing)
+    store = DimensionStore(spark, str(tmp_path / "dim"), changes.SCHEMA)
+    stream = ingest.read_files(spark, landing, changes.SCHEMA, max_files=1)
+    ingest.to_dimension(stream, store, str(tmp_path / "progress"))
+    assert [tuple(r) for r in scd2.snapshot(store.dimension()).collect()] == GOLDEN
+    # new rows for an applied batch would be lost
+    late = changes.batch_frame(spark, 2).where("customer_id = 2").withColumn("customer_id", F.lit(9).cast("bigint"))
+    late.coalesce(1).write.mode("append").parquet(landing)
+    with pytest.raises(Exception, match="which was applied"):
+        ingest.to_dimension(stream, store, str(tmp_path / "progress"))

@@ -24,7 +24,7 @@ def test_run_suite_records_success_and_failure(spark):
         ("bad", 1, False, None), ("late", 1, False, None),
     ]
     assert rows[0].columns == ["id"] and rows[0].error is None
-    assert "TABLE_OR_VIEW_NOT_FOUND" in rows[4].error and "\n" not in rows[4].error
+    assert "TABLE_OR_VIEW_NOT_FOUND" in rows[4].error and "stacktrace" not in rows[4].error
     summary = suite.run_summary(records).first()
     assert (summary.engine, summary.queries, summary.succeeded) == ("spark", 4, 2)
     assert summary.total_s > 0
@@ -39,7 +39,8 @@ def test_stored_rows(spark):
         ["2", "2024-01-02", "1.50", None, "2024-01-02T03:04:05.000000"],
     ]
     assert rows[0].columns == ["a", "d", "m", "b", "ts"] and rows[0]["query"] == "q1"
-    assert tables.result_rows(spark.range(10), "r", limit=4).count() == 4
+    many = tables.result_rows(spark.range(60_000).repartition(7), "r")
+    assert many.count() == 60_000 and many.agg(F.max("ordinal"), F.countDistinct("ordinal")).first() == (59_999, 60_000)
 
 
 def test_results_are_stored_and_compared(spark, tmp_path):

@@ -80,11 +80,10 @@ RULES: tuple[Rule, ...] = (
          ADAPTABLE, "plain modules and SQL files"),
 )
 
-# Scanned file types, skipped folders, comment markers, shown text length.
+# Scanned file types, skipped folders, comment markers.
 SUFFIXES = ("py", "sql", "scala", "yml", "yaml", "ipynb")
 SKIPPED_FOLDERS = (".venv", "stack")
 COMMENT_MARKERS = {"sql": "--", "yml": "#", "yaml": "#"}
-SHOWN = 160
 
 # every line boundary that str.splitlines knows; one class first, so that scanning is cheap
 _LINE_BREAK = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
@@ -229,7 +228,7 @@ def findings(files: DataFrame, rules: Iterable[Rule] = RULES, python: bool = Tru
     hit = code.where(reduce(or_, [_hit(F.col("__line"), r) for r in rules]))
     return (
         hit.select("file", "line", "__line", F.inline(_matches(F.col("__line"), rules)))
-        .withColumn("text", F.substring(stripped(F.col("__line")), 1, SHOWN))
+        .withColumn("text", stripped(F.col("__line")))
         .drop("__line")
     )
 

@@ -248,32 +248,37 @@ def compare_results(
 
     Returns ``(query, equal, reason)`` for every query of either side. An empty result
     equals a single row of NULLs; then row counts, column counts, rows in order, and rows
-    in sorted order decide. A stored result is bounded when it is written
-    (``sources.tables.STORED_ROWS``), so numbering the rows of one query is too.
+    in sorted order decide. Rows are numbered chunk by chunk, so a large result is spread
+    over many tasks.
     """
     every = actual.select("query").unionByName(expected.select("query")).distinct()
 
-    def side(frame: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-        in_order = Window.partitionBy("query").orderBy("ordinal")
-        by_value = Window.partitionBy("query").orderBy("__key", "ordinal")
-        rows = frame.select("query", "ordinal", "cells", _sort_key(F.col("cells")).alias("__key"))
-        numbered = rows.select(
-            "query", "cells", F.row_number().over(in_order).alias("place"),
-            F.row_number().over(by_value).alias("rank"),
+    def side(frame: DataFrame, prefix: str) -> tuple[dict[str, DataFrame], DataFrame]:
+        rows = frame.select(
+            "query", "ordinal", "cells", _sort_key(F.col("cells")).alias("__key"),
+            F.lit(1).alias("__one"),
         )
+
+        def numbered(order: list[str], name: str) -> DataFrame:
+            cut = ordered.range_chunks(rows, ["query"], order)
+            return ordered.running_before(cut, ["query"], order, {"__before": "__one"}).select(
+                "query", "cells", (F.col("__before") + 1).alias(name)
+            )
+
+        places = {"place": numbered(["ordinal"], "place"), "rank": numbered(["__key", "ordinal"], "rank")}
         facts = frame.groupBy("query").agg(
             F.count(F.lit(1)).alias(f"{prefix}_rows"),
             F.max(F.size("cells")).alias(f"{prefix}_columns"),
             F.every(F.forall("cells", is_missing)).alias(f"{prefix}_blank"),
         )
-        return numbered, facts
+        return places, facts
 
     a, a_facts = side(actual, "a")
     b, b_facts = side(expected, "b")
 
     def mismatches(position: str) -> DataFrame:
-        left = a.select("query", F.col(position).alias("at"), F.col("cells").alias("x"))
-        right = b.select("query", F.col(position).alias("at"), F.col("cells").alias("y"))
+        left = a[position].select("query", F.col(position).alias("at"), F.col("cells").alias("x"))
+        right = b[position].select("query", F.col(position).alias("at"), F.col("cells").alias("y"))
         same = F.forall(
             F.arrays_zip("x", "y"),
             lambda p: values_equal(p["x"], p["y"], T.StringType(), tolerance),

@@ -32,8 +32,8 @@ def _attempt(build: Callable[[], DataFrame]) -> tuple:
         ).save()
         return True, round(time.perf_counter() - begin, 4), seen.get["rows"], df.columns, None
     except Exception as error:  # the failure is the measurement
-        lines = str(error).splitlines() or [""]
-        text = f"{type(error).__name__}: {lines[0][:500]}"
+        message, *_ = str(error).split("\n\nJVM stacktrace:")
+        text = f"{type(error).__name__}: {message}"
         return False, round(time.perf_counter() - begin, 4), None, None, text
 
 

@@ -39,3 +39,9 @@ for _name in variants.PARAMETERS:
         lambda spark, sf_dir, name=_name: variants.run(name, standin.load(spark, sf_dir)),
         variants.oracle(_name),
     )
+
+register(
+    "tpch_q22_recent_orders",
+    lambda spark, sf_dir: variants.idle_customers(standin.load(spark, sf_dir)),
+    variants.oracle("q22", variants.RECENT_ORDERS),
+)

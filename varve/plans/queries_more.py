@@ -162,13 +162,13 @@ def _contacts(spark, sf_dir) -> DataFrame:
 _CONTACTS_SQL = f"WITH contacts AS (SELECT c_custkey, {_EMAIL} AS email, c_mktsegment FROM customer)"
 
 
-def _plan(*policies: str, extra: dict | None = None) -> policy.Plan:
-    request = policy.Request(
-        policy.Entity("User", "reader", {"tenant": "BUILDING"}), "read",
-        policy.Entity("Table", "contacts", {"tenantColumn": "c_mktsegment"}),
+def _seen(spark, sf_dir, *policies: str, extra: dict | None = None) -> DataFrame:
+    """The contacts as a reader sees them under some policies."""
+    access = policy.access(
+        {"allow": True, "policies": policies}, {**policy.DEFAULT_RULES, **(extra or {})},
+        {"tenant": "BUILDING"}, {"tenantColumn": "c_mktsegment"},
     )
-    known = policy.registry({**policy.DEFAULT_REGISTRY, **(extra or {})})
-    return policy.resolve(request, policy.Decision(True, policies), known)
+    return access.view(_contacts(spark, sf_dir))
 
 
 register(
@@ -180,25 +180,20 @@ register(
 )
 register(
     "masked_projection",
-    lambda spark, sf_dir: policy.enforce(_contacts(spark, sf_dir), _plan("pii-reader")),
+    lambda spark, sf_dir: _seen(spark, sf_dir, "pii-reader"),
     _CONTACTS_SQL + f" SELECT c_custkey, {_MASKED} AS email, c_mktsegment FROM contacts",
 )
 register(
     "tenant_filter",
-    lambda spark, sf_dir: policy.enforce(
-        _contacts(spark, sf_dir), _plan("tenant-reader", "pii-reader")
-    ),
+    lambda spark, sf_dir: _seen(spark, sf_dir, "tenant-reader", "pii-reader"),
     _CONTACTS_SQL + f""" SELECT c_custkey, {_MASKED} AS email, c_mktsegment FROM contacts
                          WHERE c_mktsegment = 'BUILDING'""",
 )
 register(
     "column_allow",
-    lambda spark, sf_dir: policy.enforce(
-        _contacts(spark, sf_dir),
-        _plan("tenant-reader", "key-reader", extra={"key-reader": [
-            {"kind": policy.COLUMN_ALLOW, "name": "keys", "parameters": {"columns": ["c_custkey"]}}
-        ]}),
-    ),
+    lambda spark, sf_dir: _seen(spark, sf_dir, "tenant-reader", "key-reader", extra={"key-reader": [
+        {"kind": "column_allow", "name": "keys", "parameters": {"columns": ["c_custkey"]}}
+    ]}),
     _CONTACTS_SQL + " SELECT c_custkey FROM contacts WHERE c_mktsegment = 'BUILDING'",
 )
 
@@ -346,7 +341,7 @@ _LINES_SQL = r"""
 _FINDINGS_SQL = _LINES_SQL + ",\n hits AS (" + " UNION ALL ".join(
     f"SELECT file, CAST(line AS INT) AS line, '{r.key}' AS rule, '{r.capability}' AS capability, "
     f"'{r.classification}' AS classification, '' AS alternative, "
-    f"substring(trim(body), 1, {corpus.SHOWN}) AS text FROM lines "
+    "trim(body) AS text FROM lines "
     f"WHERE regexp_matches(body, {_quote(r.pattern)})"
     for r in _TEXT_RULES
 ) + ")"
@@ -496,9 +491,9 @@ def _store_dimension(spark, sf_dir):
 def _stream_dimension(spark, sf_dir):
     """The order log as change files that a stream folds into the dimension."""
     base = _scratch(spark)
-    _order_log(spark, sf_dir).write.parquet(f"{base}/feed")
+    _order_log(spark, sf_dir).repartition(6).write.parquet(f"{base}/feed")
     store = _order_store(spark, base, "dimension")
-    stream = ingest.read_files(spark, f"{base}/feed", changes.SCHEMA)
+    stream = ingest.read_files(spark, f"{base}/feed", changes.SCHEMA, max_files=2)
     ingest.to_dimension(stream, store, f"{base}/progress")
     return store.dimension()
 

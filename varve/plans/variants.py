@@ -40,22 +40,27 @@ PARAMETERS: dict[str, dict] = {
     "q22": {},
 }
 
-# Every customer here has an order, so "has no order" means no recent completed one.
-Q22_ORDERS = "o_orderdate >= DATE '2000-01-01' AND o_orderstatus = 'F'"
+# Every customer here has an order, so q22 itself selects none. A form of its own asks for
+# customers without a recent completed order.
+RECENT_ORDERS = "o_orderdate >= DATE '2000-01-01' AND o_orderstatus = 'F'"
 
 
 def run(name: str, tables: standin.Tables) -> DataFrame:
-    if name == "q22":
-        tables = tables.replaced(orders=tables.orders.where(F.expr(Q22_ORDERS)))
     return tpch.run(name, tables, **PARAMETERS[name])
 
 
-def oracle(name: str) -> str:
-    """The query's SQL over the given tables, with the stand-in columns as CTEs."""
+def idle_customers(tables: standin.Tables) -> DataFrame:
+    """q22 over recent completed orders only."""
+    return run("q22", tables.replaced(orders=tables.orders.where(F.expr(RECENT_ORDERS))))
+
+
+def oracle(name: str, orders: str | None = None) -> str:
+    """The query's SQL over the given tables, with the stand-in columns as CTEs; ``orders``
+    is a condition on the orders it reads."""
     ctes = [standin.oracle_cte(t) for t in tpch_sql.table_names(name)]
     body = tpch_sql.text(name, lambda t: f"v_{t}", **PARAMETERS[name])
-    if name == "q22":
-        ctes.append(f"recent AS (SELECT * FROM v_orders WHERE {Q22_ORDERS})")
+    if orders:
+        ctes.append(f"recent AS (SELECT * FROM v_orders WHERE {orders})")
         body = body.replace("FROM v_orders", "FROM recent")
     joined = ",\n".join(ctes)
     if body.startswith("WITH "):

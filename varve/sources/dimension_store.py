@@ -1,6 +1,6 @@
 """A change log and its type 2 dimension as parquet folders.
 
-``log/batch_id=N``                      the changes of batch N, written once
+``log/batch_id=N/part=P``               changes of batch N, each part written once
 ``versions/batch_id=N/is_current=true`` all current versions after batch N
 ``versions/batch_id=N/is_current=false`` the versions batch N closed
 ``commits``                             one row per finished step
@@ -63,22 +63,47 @@ class DimensionStore:
         if batch_id in self.ingested():
             return False
         changes.drop(self.spec.batch).write.mode("overwrite").parquet(
-            self._path(f"log/{self.spec.batch}={batch_id}")
+            self._path(f"log/{self.spec.batch}={batch_id}/part=whole")
         )
         self._commit(batch_id, "ingested")
         return True
 
+    def add_part(self, changes: DataFrame, part: str) -> None:
+        """Add some rows of one or more batches to the log; repeating a part replaces it.
+
+        Rows of a batch that was applied before change nothing if the log has them. Others
+        would be lost, so they are an error.
+        """
+        key, last = F.col(self.spec.batch), max(self.applied(), default=None)
+        if last is not None:
+            late = changes.where(key <= last)
+            if not late.isEmpty():
+                known = self._rows().select(late.columns)
+                if not late.exceptAll(known).isEmpty():
+                    raise ValueError(f"rows arrived for a batch up to {last}, which was applied")
+            changes = changes.where(key > last)
+        changes.withColumn("part", F.lit(part)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(self.spec.batch, "part").parquet(self._path("log"))
+
+    def close_parts(self) -> None:
+        """Take every batch in the log for complete."""
+        if self._exists("log"):
+            held = self._rows().select(self.spec.batch).distinct().collect()
+            for batch_id in sorted({r[0] for r in held} - set(self.ingested())):
+                self._commit(batch_id, "ingested")
+
+    def _rows(self) -> DataFrame:
+        schema = f"{self.changes_schema}, part STRING"
+        return self.spark.read.schema(schema).parquet(self._path("log")).drop("part")
+
     def batch(self, batch_id: int) -> DataFrame:
-        """The changes of one batch."""
-        return (
-            self.spark.read.schema(self.changes_schema).option("basePath", self._path("log"))
-            .parquet(self._path(f"log/{self.spec.batch}={batch_id}"))
-        )
+        """The changes of one batch. A row that was delivered in two parts counts once."""
+        return self._rows().where(F.col(self.spec.batch) == batch_id).distinct()
 
     def log(self) -> DataFrame:
         """The changes of every finished batch."""
-        frame = self.spark.read.schema(self.changes_schema).parquet(self._path("log"))
-        return frame.where(F.col(self.spec.batch).isin(self.ingested()))
+        return self._rows().where(F.col(self.spec.batch).isin(self.ingested())).distinct()
 
     def _versions(self) -> tuple[DataFrame, int] | None:
         done = self.applied()

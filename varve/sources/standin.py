@@ -146,8 +146,7 @@ PROJECTIONS: dict[str, dict[str, str]] = {
     },
 }
 
-# partsupp: one row per (part, supplier) pair seen on the first three lines of an order
-PARTSUPP_FILTER = "l_linenumber <= 3"
+# partsupp: one row per (part, supplier) pair seen on any line
 PARTSUPP_AGGREGATES: dict[str, str] = {
     "ps_availqty": "CAST(sum(l_quantity) AS BIGINT)",
     "ps_supplycost": _money("min(l_extendedprice)"),
@@ -221,7 +220,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
 
 def partsupp(raw_lineitem: DataFrame) -> DataFrame:
     pairs = (
-        raw_lineitem.where(PARTSUPP_FILTER)
+        raw_lineitem
         .groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"))
         .agg(*[F.expr(e).alias(n) for n, e in PARTSUPP_AGGREGATES.items()])
     )
@@ -235,7 +234,7 @@ def oracle_cte(table: str) -> str:
         return (
             f"v_partsupp AS (SELECT *, {PARTSUPP_COMMENT} AS ps_comment FROM ("
             f"SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, {aggregates} "
-            f"FROM lineitem WHERE {PARTSUPP_FILTER} GROUP BY 1, 2))"
+            f"FROM lineitem GROUP BY 1, 2))"
         )
     body = ", ".join(f"{e} AS {n}" for n, e in PROJECTIONS[table].items())
     return f"v_{table} AS (SELECT {body} FROM {table})"

@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varve.functions.encoding import timestamp_text
 from varve.schema import Layout
-
-# Fixed value: largest result the suite stores per query.
-STORED_ROWS = 50_000
+from varve.session import ensure_checkpoint_dir
 
 
 def raw(spark: SparkSession, layout: Layout, table: str) -> DataFrame:
@@ -114,13 +112,13 @@ def append(spark: SparkSession, df: DataFrame, name: str) -> None:
 
 
 def unreadable(spark: SparkSession, names: Iterable[str]) -> list[tuple[str, str]]:
-    """Tables whose first row cannot be read, with the first line of the error."""
+    """Tables whose first row cannot be read, with the error."""
     failures = []
     for name in names:
         try:
             spark.table(name).limit(1).collect()
         except Exception as error:  # the failure is the finding
-            failures.append((name, str(error).splitlines()[0][:120]))
+            failures.append((name, str(error)))
     return failures
 
 
@@ -131,25 +129,35 @@ def _stored_text(field: T.StructField):
     return column.cast("string")
 
 
-def result_rows(df: DataFrame, query: str, limit: int = STORED_ROWS) -> DataFrame:
+def result_rows(df: DataFrame, query: str) -> DataFrame:
     """A query result as storable rows ``(query, ordinal, columns, cells)``.
 
-    Decimals and dates become text, NULL stays NULL. The limit belongs to the feature: a
-    stored result is evidence of an answer set, not a copy of a table, so it holds at most
-    ``limit`` rows and is numbered in the order of the result.
+    Decimals and dates become text, NULL stays NULL. All rows are numbered in the order of
+    the result, each partition on its own from where the ones before it end. The rows are
+    written to the checkpoint folder first: numbers hold only while partitions stay.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     cells = F.array(*[_stored_text(f) for f in df.schema.fields])
-    rows = df.limit(limit).select(cells.alias("cells"))
-    numbered = rows.coalesce(1).select(F.monotonically_increasing_id().alias("ordinal"), "cells")
+    place = F.monotonically_increasing_id()
+    rows = df.select(cells.alias("cells"), place.alias("place")).checkpoint().select(
+        "cells", F.shiftright("place", 33).alias("part"),
+        F.col("place").bitwiseAND((1 << 33) - 1).alias("number"),
+    )
+    # one row per partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").count().select(
+        "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
+    )
+    numbered = rows.join(starts, "part").select((F.col("start") + F.col("number")).alias("ordinal"), "cells")
     return numbered.select(
         F.lit(query).alias("query"), "ordinal",
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"), "cells",
     )
 
 
-def store_result(df: DataFrame, query: str, location: str, limit: int = STORED_ROWS) -> None:
+def store_result(df: DataFrame, query: str, location: str) -> None:
     """Store a query result below a location, replacing the last one of the query."""
-    result_rows(df, query, limit).drop("query").write.mode("overwrite").parquet(
+    result_rows(df, query).drop("query").write.mode("overwrite").parquet(
         f"{location.rstrip('/')}/query={query}"
     )
 

@@ -8,7 +8,6 @@ in the target, so a stream that was killed goes on where it stopped.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -68,24 +67,19 @@ def to_silver(
 def to_dimension(stream: DataFrame, store: DimensionStore, checkpoint: str) -> StreamingQuery:
     """Fold a stream of change rows into a type 2 dimension.
 
-    A micro-batch may hold several change batches; they are logged and applied in order. A
-    batch already in the log is skipped and one that was logged but not applied is applied
-    first, so a repeated micro-batch changes nothing. All rows of a change batch must arrive
-    in one micro-batch (one file per batch, as the feed delivers them).
+    Micro-batches may cut a change batch anywhere: each adds its rows to the log as a part of
+    its own, and batches are applied in order when the stream has taken all there is. A
+    repeated micro-batch replaces its part, a batch delivered again changes nothing, and new
+    rows for a batch that was applied by an earlier run are an error.
     """
 
-    def fold(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        try:
-            column = store.spec.batch
-            arrived = [r[0] for r in kept.select(column).distinct().orderBy(column).collect()]
-            for batch_id in arrived:
-                store.ingest(batch_id, kept.where(F.col(column) == batch_id))
-                store.apply_pending()
-        finally:
-            kept.unpersist()
+    def log(batch: DataFrame, number: int) -> None:
+        store.add_part(batch, f"micro_batch_{number}")
 
-    return _finish(
-        stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    query = _finish(
+        stream.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+    store.close_parts()
+    store.apply_pending()
+    return query
