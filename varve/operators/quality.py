@@ -233,12 +233,21 @@ def _profile_measure(field: T.StructField) -> tuple[str, Column]:
     return "value", column
 
 
+def _exact(measure: Column, kind: str, data_type: T.DataType) -> Column:
+    """A measure in the narrowest type whose sum is exact and cannot overflow in practice:
+    lengths and days as numbers, decimals as they are, keys as decimals without fraction."""
+    if kind != "value" or isinstance(data_type, T.DecimalType):
+        return measure
+    whole = {T.LongType: "decimal(20,0)", T.IntegerType: "decimal(10,0)"}
+    return measure.cast(whole.get(type(data_type), "decimal(38,2)"))
+
+
 def _profile(df: DataFrame) -> tuple[list[Column], Column]:
     """The sums a profile needs, and the array of its rows over their result."""
     measures = [(f.name, *_profile_measure(f)) for f in df.schema.fields]
     sums = [
-        F.sum(m.cast("decimal(38,2)")).cast("decimal(38,2)").alias(f"__{i}")
-        for i, (_, _, m) in enumerate(measures)
+        F.sum(_exact(m, kind, f.dataType)).cast("decimal(38,2)").alias(f"__{i}")
+        for i, (f, (_, kind, m)) in enumerate(zip(df.schema.fields, measures))
     ]
     entries = [
         F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("measure"),
