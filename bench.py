@@ -23,7 +23,8 @@ COLLECTED = ["gold_revenue_by_nation_year", *[f"tpch_q{n:02d}" for n in range(1,
 DROPPED = [
     "silver_lineitem", "quality_keys", "quality_fk_orphans", "profile_lineitem", "fingerprint_xx",
     "scd2_from_log", "reconcile_diff", "reconcile_tolerant", "reconcile_sorted", "masked_projection",
-    "corpus_rule_hits", "coverage_rollup",
+    "corpus_rule_hits", "coverage_rollup", "scd2_apply_batches", "scd2_store", "stream_bronze", "stream_scd2",
+    "suite_verdicts", "stored_rows", "quality_report", "fingerprint_md5",
 ]
 
 

@@ -46,6 +46,19 @@ def _order_log(spark, sf_dir) -> DataFrame:
     return standin.derived(last.select("o_custkey", "batch_id", "o.*"), _ORDER_CHANGE)
 
 
+def _order_feed(spark, sf_dir) -> DataFrame:
+    """Every order as a change, also several of a customer in one period."""
+    orders = standin.load(spark, sf_dir).orders.withColumn("batch_id", F.expr(_ORDER_BATCH))
+    return standin.derived(orders, _ORDER_CHANGE)
+
+
+_ORDER_FEED_SQL = (
+    "WITH " + standin.oracle_cte("orders") + f""",
+    log AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _ORDER_CHANGE.items())}
+            FROM (SELECT *, {_ORDER_BATCH} AS batch_id FROM v_orders))"""
+)
+
+# The batch form takes one change per customer and batch.
 _ORDER_LOG_SQL = (
     "WITH " + standin.oracle_cte("orders") + f""",
     ranked AS (
@@ -107,17 +120,17 @@ def _lookup(spark, sf_dir):
     return scd2.log_contains(_order_log(spark, sf_dir), asked)
 
 
-register("change_feed_rows", _order_log,
-         _ORDER_LOG_SQL + f" SELECT {', '.join(_ORDER_CHANGE)} FROM log")
+register("change_feed_rows", _order_feed,
+         _ORDER_FEED_SQL + f" SELECT {', '.join(_ORDER_CHANGE)} FROM log")
 register("change_log_contains", _lookup, _ORDER_LOG_SQL + """
     SELECT n_nationkey AS batch_id, n_nationkey IN (SELECT batch_id FROM log) AS loaded
     FROM nation""")
 register(
     "record_hash",
-    lambda spark, sf_dir: _order_log(spark, sf_dir).select(
+    lambda spark, sf_dir: _order_feed(spark, sf_dir).select(
         "batch_id", "customer_id", record_hash(["name", "segment", "city"]).alias("record_hash")
     ),
-    _ORDER_LOG_SQL + """
+    _ORDER_FEED_SQL + """
     SELECT batch_id, customer_id, sha256(concat_ws('||', name, segment, city)) AS record_hash
     FROM log""",
 )

@@ -76,13 +76,16 @@ register(
     ),
 )
 
-RESCUE_FIELDS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+RESCUE_FIELDS = [f.name for f in schema.struct("orders").fields]
+
+
+_MESSY = ("o_orderstatus", "o_totalprice", "o_orderdate")
 
 
 def _messy_orders(spark, sf_dir) -> DataFrame:
     """Orders as text, as a landing zone would hold them, with unreadable amounts and dates."""
     return standin.load(spark, sf_dir).orders.selectExpr(
-        "CAST(o_orderkey AS STRING) AS o_orderkey", "CAST(o_custkey AS STRING) AS o_custkey",
+        *[f"CAST({c} AS STRING) AS {c}" for c in RESCUE_FIELDS if c not in _MESSY],
         "'  ' || o_orderstatus || ' ' AS o_orderstatus",
         "CASE WHEN o_orderkey % 50 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS STRING) END "
         "AS o_totalprice",
@@ -103,9 +106,8 @@ register(
     ),
     _views("orders") + """,
     messy AS (
-      SELECT o_orderkey, o_custkey, o_orderstatus,
-             CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
-             CASE WHEN o_orderkey % 75 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate
+      SELECT * REPLACE (CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+                        CASE WHEN o_orderkey % 75 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate)
       FROM v_orders)
     SELECT *, 'o_totalprice' AS bad_column, 'n/a' AS bad_value FROM messy
     WHERE o_totalprice IS NULL
