@@ -85,4 +85,71 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op5_block_topk": OP5_SQL}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS i, h FROM d),
+k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM p),
+least AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
+hit AS (SELECT doc_id, i FROM k JOIN least USING (k) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + o AS j FROM hit, range(50) AS t(o)),
+spans AS (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS b FROM gone),
+sums AS (SELECT doc_id, count(*) AS n, count(CASE WHEN b IS NULL OR b < j - 1 THEN 1 END) AS s FROM spans GROUP BY doc_id),
+left_over AS (
+    SELECT doc_id, string_agg(substr(h, 2 * j + 1, 2), '' ORDER BY j) AS h
+    FROM (SELECT doc_id, unnest(range(0, len(h) // 2)) AS j, h FROM d WHERE doc_id IN (SELECT doc_id FROM sums))
+    ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(s, 0) AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN d.h ELSE coalesce(l.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN left_over AS l USING (doc_id)
+"""
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id
+    JOIN n AS x ON x.doc_id = a.doc_id JOIN n AS y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach(a, b) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.least AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) AS c USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+k AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+),
+least AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
+hit AS (SELECT doc_id, i FROM k JOIN least USING (k) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + o AS j FROM hit, range(50) AS t(o)),
+sums AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+left_over AS (
+    SELECT doc_id, string_agg(w[j], ' ' ORDER BY j) AS kept
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_suffixes": OP2_SQL,
+    "op3_jaccard_join": OP3_SQL,
+    "op5_block_topk": OP5_SQL,
+    "op10_anchors": OP10_SQL,
+}
