@@ -15,14 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from varve.llm.common import Slice, covered, partitions, windows, word_hashes, word_spans
+from varve.llm.common import Slice, covered, windows, word_hashes, word_spans
 from varve.llm.sliced import (
     ANSWER, NO_ID, answered, deal, in_smaller, pack_ids, seen_twice, send, short_keys, slice_of,
 )
 
 WINDOW = 50
-#: Buckets for each partition: one bucket at a time is in memory.
-BUCKETS = 4
 
 
 class Anchors:
@@ -67,8 +65,7 @@ def dedup(
     words; a null id counts as larger than any other; rows with the same id leave each other alone
     and stay as they are; an empty table gives no rows; other columns are not read.
     """
-    dealt = deal(docs, doc_id, text)
-    buckets = BUCKETS * partitions(docs.sparkSession)
+    dealt, buckets = deal(docs, doc_id, text)
 
     def ask_index(table: pa.Table) -> pa.Table:
         own = Anchors(slice_of(table), window)

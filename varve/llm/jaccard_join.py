@@ -27,11 +27,10 @@ from varve.llm.common import (
     BYTE_BASE, WORD_BASE, ensure_checkpoints, lowered, mixed, partitions, span_hashes, windows, word_hashes, word_spans,
 )
 from varve.llm.components import components
-from varve.llm.sliced import NO_ID, bucket_order, cells, deal, send, slice_of
+from varve.llm.sliced import BUCKETS, NO_ID, bucket_order, cells, deal, send, slice_of
 
 SHINGLE = 5
 PERCENT = 75
-BUCKETS = 4
 #: Smallest nodes with which a set is compared in the first round; the second is exact for the rest.
 CENTERS = 2
 #: A set with many partners travels once for each of so many parts of them.
@@ -79,8 +78,7 @@ def sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) ->
     keyed = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key")
     )
-    dealt = deal(keyed, carry=("text_key",))
-    buckets = BUCKETS * partitions(docs.sparkSession)
+    dealt, buckets = deal(keyed, carry=("text_key",))
 
     def ask(table: pa.Table) -> pa.Table:
         keys, _, number = shingle_sets(slice_of(table), shingle)

@@ -17,21 +17,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import SLICE_BYTES, Slice, id_and_bytes, partitions, slices
+from varve.llm.common import Slice, id_and_bytes, partitions, slices
 
+#: Bytes of a slice, and of what makes a slice or a bucket worth its while.
+SLICE, LEAST = 2 << 20, 1 << 18
+#: Buckets for each partition: one bucket at a time is in memory.
+BUCKETS = 4
 #: Stands for a null id in comparisons: larger than any other.
 NO_ID = (1 << 63) - 1
 
 
 def deal(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SLICE_BYTES, carry: tuple[str, ...] = (),
-) -> DataFrame:
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SLICE, carry: tuple[str, ...] = (),
+) -> tuple[DataFrame, int]:
     """s, doc_id, data: whole texts with the number of their slice; and carried, a struct of the
-    columns named in ``carry``, if any."""
+    columns named in ``carry``, if any. Also returns how many key buckets to use.
+
+    Slices hold about ``size`` bytes, less where there would be fewer than partitions, but not under
+    ``LEAST``; so packed rows, one for each slice and bucket, stay far fewer than keys."""
     rows = id_and_bytes(docs, doc_id, text, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    count = max(partitions(docs.sparkSession), total // size + 1)
-    return rows.withColumn("s", F.pmod(F.xxhash64("doc_id", "data"), F.lit(count)).cast("int"))
+    parts, fill = partitions(docs.sparkSession), total // LEAST + 1
+    count = max(total // size + 1, min(parts, fill))
+    dealt = rows.withColumn("s", F.pmod(F.xxhash64("doc_id", "data"), F.lit(count)).cast("int"))
+    return dealt, min(BUCKETS * parts, fill)
 
 
 def slice_of(table: pa.Table) -> Slice:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from varve.llm.common import BYTE_BASE, Slice, covered, partitions, runs, span_hashes, spread_bytes
+from varve.llm.common import BYTE_BASE, Slice, covered, runs, span_hashes, spread_bytes
 from varve.llm.sliced import (
     ANSWER, NO_ID, answer, answered, bucket_order, cells, deal, pack_ids, seen_twice, send, short_keys, slice_of, unpack_ids,
 )
@@ -33,8 +33,6 @@ LENGTH = 50
 # A difference cover modulo 31: every residue is the difference of two members.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-SLICE = 2 << 20
-BUCKETS = 4
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -137,8 +135,7 @@ def dedup(
     """
     if length < PERIOD + 8:
         raise ValueError(f"length must be {PERIOD + 8} or more")
-    dealt = deal(docs, doc_id, text, SLICE, carry)
-    buckets = BUCKETS * partitions(docs.sparkSession)
+    dealt, buckets = deal(docs, doc_id, text, carry=carry)
     asked = (("b", pa.int32()), ("s", pa.int32()), ("text", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()))
     shown = [
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
