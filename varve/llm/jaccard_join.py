@@ -6,11 +6,15 @@ fragments is the overlap. Candidates come from prefixes: two sets that are simil
 of the first n - ceil(t * n) + 1 shingles of either, and shingles of one document alone come first, so
 most documents are left alone without a pair.
 
-Nodes are distinct sets, so copies meet once. Pairs are asked for in two rounds. In the first a set
-is compared with the smallest node of its prefix lists only, which joins the members of a large group
-to a few of them. In the second, every pair of a prefix list is compared whose ends are not yet in one
-component, and whose lengths and places in the order allow the overlap. No link between components is
-lost, and a group never becomes all its pairs.
+Nodes are distinct sets, so copies meet once. Pairs are asked for in three rounds. In the first a set
+is compared only with the set of each prefix list that has fewest shingles of its own, most often the
+original of a group. In the second it is compared with the likeliest set of another component. In the
+last, every pair of a prefix list is compared whose ends are not yet in one component, and whose lengths,
+places in the order and bitmaps allow the overlap. No link between components is lost, and a group
+never becomes all its pairs.
+
+A bitmap holds the parity of the shingles that fall on each of its bits. Two bitmaps differ in at most
+as many bits as the sets differ in shingles, which bounds the overlap of two sets.
 """
 
 from __future__ import annotations
@@ -31,8 +35,14 @@ from varve.llm.sliced import BUCKETS, NO_ID, bucket_order, cells, deal, send, sl
 
 SHINGLE = 5
 PERCENT = 75
-#: Smallest nodes with which a set is compared in the first round; the second is exact for the rest.
-CENTERS = 2
+#: Sets with which a set is compared in the first round, and places of a list that it looks at in the
+#: second; the last round is exact for what they leave.
+CENTERS, NEAR = 2, 64
+BITS = 1024
+#: Pairs that may be sent to every task: at most 24 bytes each.
+SMALL = 200_000
+#: Bytes of shingles that make a fragment worth its while.
+FRAGMENT = 1 << 19
 #: A set with many partners travels once for each of so many parts of them.
 PARTNERS = 64
 
@@ -59,9 +69,12 @@ def _sums(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 def frequency_class(table: pa.Table) -> pa.Table:
     """For the keys of a bucket: 0 if one document has the key, else a class that grows with the
-    number of documents. 30 bits of a key travel besides its bucket; a few single shingles are taken
+    number of documents. 22 bits of a key travel besides its bucket; some single shingles are taken
     for shared ones, which costs time and changes no count."""
-    keys, counts = cells(table, "keys", "<u4")
+    packed, counts = cells(table, "keys", "u1")
+    keys = np.zeros((len(packed) // 3, 4), np.uint8)
+    keys[:, :3] = packed.reshape(-1, 3)
+    keys, counts = keys.view("<u4").ravel(), [count // 3 for count in counts]
     _, group = np.unique(keys >> 2, return_inverse=True)
     times = np.bincount(group, weights=keys & 3)
     classes = np.where(times > 1, np.minimum(255, np.floor(8 * np.log2(np.maximum(times, 1)))), 0).astype(np.uint8)[group]
@@ -83,11 +96,11 @@ def sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) ->
     def ask(table: pa.Table) -> pa.Table:
         keys, _, number = shingle_sets(slice_of(table), shingle)
         times = np.minimum(np.bincount(number, minlength=len(keys)), 3)
-        short = (keys >> np.uint64(34)).astype(np.uint32) << np.uint32(2) | times.astype(np.uint32)
+        short = ((keys >> np.uint64(42)).astype("<u4") << np.uint32(2) | times.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
         return send(table.column("s")[0].as_py(), keys, buckets, {"keys": lambda row: short[row].tobytes()})
 
     def order(table: pa.Table, replies: pa.Table) -> pa.Table:
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "alone": pa.int64(), "shared": pa.binary(), "text_key": pa.int64()}
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "alone": pa.int64(), "shared": pa.binary(), "bits": pa.binary(), "text_key": pa.int64()}
         if not table.num_rows:
             return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
         part = slice_of(table)
@@ -100,6 +113,8 @@ def sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) ->
         # a set is known by two sums over its hashes, mixed in different ways
         every, borders = keys[number], np.searchsorted(texts, np.arange(len(part) + 1))
         node = mixed(_sums(every, borders) ^ np.uint64(BYTE_BASE)) ^ _sums(mixed(every ^ np.uint64(WORD_BASE)), borders)
+        parity = np.bincount(texts * BITS + (every % np.uint64(BITS)).astype(np.int64), minlength=len(part) * BITS) & 1
+        bitmaps = np.packbits(parity.astype(np.uint8).reshape(len(part), BITS), axis=1)
         sizes = np.bincount(texts, minlength=len(part))
         alone = np.bincount(texts[own == 0], minlength=len(part))
         needed = -(-percent * sizes // 100)
@@ -114,17 +129,18 @@ def sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) ->
         return pa.table({
             "doc_id": pa.array(part.ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "node": pa.array(node.view(np.int64), pa.int64(), mask=~able),
             "alone": pa.array(alone, pa.int64()), "shared": pa.array(shared, pa.binary()),
+            "bits": pa.array([row.tobytes() if ok else None for row, ok in zip(bitmaps, able)], pa.binary()),
             "text_key": pc.struct_field(table.column("carried").take(part.order).combine_chunks(), "text_key"),
         })
 
     known = dealt.groupBy("s").applyInArrow(ask, "b int, s int, keys binary").groupBy("b").applyInArrow(
         frequency_class, "s int, b int, classes binary"
     )
-    return dealt.groupBy("s").cogroup(known.groupBy("s")).applyInArrow(order, "doc_id long, n long, node long, alone long, shared binary, text_key long")
+    return dealt.groupBy("s").cogroup(known.groupBy("s")).applyInArrow(order, "doc_id long, n long, node long, alone long, shared binary, bits binary, text_key long")
 
 
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, place: the shared shingles in the prefix of each set and their places."""
+    """key, node, n, alone, place: the shared shingles in the prefix of each set and their places."""
 
     def cut(batches):
         for batch in batches:
@@ -137,22 +153,26 @@ def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64()),
                 "node": pa.array(np.repeat(batch.column("node").to_numpy(), count), pa.int64()),
-                "n": pa.array(np.repeat(n, count).astype(np.int32), pa.int32()), "place": pa.array(place.astype(np.int32), pa.int32()),
+                "n": pa.array(np.repeat(n, count).astype(np.int32), pa.int32()),
+                "alone": pa.array(np.repeat(alone, count).astype(np.int32), pa.int32()), "place": pa.array(place.astype(np.int32), pa.int32()),
             })
 
-    return nodes.select("node", "n", "alone", "shared").mapInArrow(cut, "key long, node long, n int, place int")
+    return nodes.select("node", "n", "alone", "shared").mapInArrow(cut, "key long, node long, n int, alone int, place int")
 
 
 def overlaps(nodes: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
     """a, b, overlap for pairs (a, b): counted in each fragment of the order, summed per pair.
 
     Shingles of one document alone never overlap, so fragments hold the shared ones."""
+    pairs = pairs.checkpoint()
+    few = pairs.count() <= SMALL
     grouped = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(PARTNERS))).groupBy("a", "chunk").agg(F.collect_list("b").alias("partners"))
     # a set goes to its fragments once as itself and once for each chunk of partners
     asks = grouped.select(F.col("a").alias("node"), "partners").unionByName(
         pairs.select(F.col("b").alias("node")).distinct().select("node", F.array().cast("array<long>").alias("partners"))
     )
-    sent = asks.join(nodes.select("node", "shared"), "node")
+    # a few pairs go to the sets, or else both meet by node
+    sent = nodes.select("node", "shared").join(F.broadcast(asks) if few else asks, "node")
 
     def cut(batches):
         for batch in batches:
@@ -171,6 +191,8 @@ def overlaps(nodes: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
                 "keys": pa.array([np.concatenate([r[2] for r in rows]).tobytes() for rows in held.values()], pa.binary()),
             })
 
+    groups = partitions(nodes.sparkSession)
+
     def count(table: pa.Table) -> pa.Table:
         node, asked, partners, held, keys = (
             cells(table, name, kind)[0] for name, kind in (("node", "<i8"), ("asked", "<u4"), ("partners", "<i8"), ("held", "<u4"), ("keys", "<u8"))
@@ -191,63 +213,92 @@ def overlaps(nodes: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
             code = np.repeat(other[low:low + 4096], sizes) * width + key[places]
             at = np.minimum(np.searchsorted(present, code), len(present) - 1)
             sums[low:low + 4096] = np.bincount(np.repeat(np.arange(len(rows)), sizes), weights=present[at] == code, minlength=len(rows))
-        some = sums > 0
-        return pa.table({
-            "a": pa.array(node[left[some]], pa.int64()), "b": pa.array(partners[some], pa.int64()), "part": pa.array(sums[some], pa.int64()),
+        some = np.flatnonzero(sums > 0)
+        a, b = node[left[some]], partners[some]
+        return send(0, mixed(a.view(np.uint64)) ^ b.view(np.uint64), groups, {
+            "a": lambda row: a[row].tobytes(), "c": lambda row: b[row].tobytes(), "part": lambda row: sums[some[row]].astype("<i8").tobytes(),
         })
 
+    def total(table: pa.Table) -> pa.Table:
+        a, b, part = (cells(table, name, "<i8")[0] for name in ("a", "c", "part"))
+        pair, number = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
+        overlap = np.bincount(number.ravel(), weights=part).astype(np.int64)
+        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64()), "overlap": pa.array(overlap, pa.int64())})
+
     packed = sent.mapInArrow(cut, "f int, node binary, asked binary, partners binary, held binary, keys binary")
-    parts = packed.groupBy("f").applyInArrow(count, "a long, b long, part long")
-    return parts.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
+    parts = packed.groupBy("f").applyInArrow(count, "b int, s int, a binary, c binary, part binary")
+    return parts.groupBy("b").applyInArrow(total, "a long, b long, overlap long")
 
 
-def linked(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def linked(nodes: DataFrame, pairs: DataFrame, percent: int, fragments: int) -> DataFrame:
     """The pairs that are similar enough."""
     sizes = nodes.select("node", "n")
-    found = overlaps(nodes, pairs, partitions(nodes.sparkSession))
+    found = overlaps(nodes, pairs, fragments)
     both = found.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    return both.where((100 + percent) * F.col("overlap") >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "overlap")
+    return both.where((100 + percent) * F.col("overlap") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def first_pairs(prefix: DataFrame) -> DataFrame:
-    """Each set with the smallest nodes of its prefix lists, the most frequent first."""
-    least = prefix.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
-    votes = prefix.select("key", F.col("node").alias("b")).join(least, "key").where("a <> b").groupBy("b", "a").count()
+    """Each set with those sets of its prefix lists that have fewest shingles of their own, the most
+    frequent of them first."""
+    least = prefix.groupBy("key").agg(F.min(F.struct("alone", "node")).alias("a"), F.count("*").alias("size")).where("size > 1")
+    votes = prefix.select("key", F.col("node").alias("b")).join(least.select("key", F.col("a.node").alias("a")), "key")
+    votes = votes.where("a <> b").groupBy("b", "a").count()
     best = votes.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), asc=False), 1, CENTERS).alias("best"))
     return best.select(F.explode("best.a").alias("a"), "b")
 
 
-def second_pairs(prefix: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a prefix list in different components that may still be similar."""
+def open_pairs(nodes: DataFrame, prefix: DataFrame, of: DataFrame, percent: int, near: int | None) -> DataFrame:
+    """Pairs of a prefix list in different components that may still be similar: all of them, or
+    with ``near`` the likeliest of each set among so many places ahead in its lists."""
     placed = prefix.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     buckets = BUCKETS * partitions(prefix.sparkSession)
-    open_lists = placed.join(mixed_keys, "key").withColumn("f", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    lists = placed.join(mixed_keys, "key").withColumn("f", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    lists = lists.join(nodes.select("node", "bits"), "node").select("f", "key", "node", "n", "place", "component", "bits")
 
     def pair(table: pa.Table) -> pa.Table:
         key, node, n, place, group = (table.column(c).to_numpy() for c in ("key", "node", "n", "place", "component"))
-        order = np.lexsort((n, key))
-        key, node, n, place, group = key[order], node[order], n[order].astype(np.int64), place[order].astype(np.int64), group[order]
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(key), BITS // 64)
+        order = np.lexsort((node, n, key))
+        key, node, n, place, group, bits = key[order], node[order], n[order].astype(np.int64), place[order].astype(np.int64), group[order], bits[order]
         # partners follow in the list and are at most so much larger
         width = int(n.max(initial=0)) + 1
         number = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
         last = np.searchsorted(number * width + n, number * width + np.minimum(100 * n // percent, width - 1), side="right")
+        count = last - np.arange(len(key)) - 1
+        count = np.minimum(count, near) if near else count
+        # rows whose partners are about a quarter of a million
+        cuts = np.searchsorted(np.cumsum(count), np.arange(0, count.sum(), 1 << 18))
         found = []
-        for low in range(0, len(key), 256):
-            rows = np.arange(low, min(low + 256, len(key)))
-            counts = last[rows] - rows - 1
+        for low, high in zip(cuts, [*cuts[1:], len(key)]):
+            rows = np.arange(low, high)
+            counts = count[rows]
             a = np.repeat(rows, counts)
             b = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + a + 1
             # in the list of their first common shingle no more can be common than what follows
             ahead = np.minimum(n[a] - place[a], n[b] - place[b])
             keep = (group[a] != group[b]) & ((100 + percent) * ahead >= percent * (n[a] + n[b]))
-            if keep.any():
-                ends = np.sort(np.stack([node[a[keep]], node[b[keep]]], axis=1), axis=1)
-                found.append(np.unique(ends, axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return open_lists.select("f", "key", "node", "n", "place", "component").groupBy("f").applyInArrow(pair, "a long, b long").distinct()
+            a, b = a[keep], b[keep]
+            most = (n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)) // 2
+            keep = (100 + percent) * most >= percent * (n[a] + n[b])
+            a, b, most = node[a[keep]], node[b[keep]], most[keep]
+            if not near:
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), 0 * most], axis=1), axis=0))
+                continue
+            # for each set the partner with the largest share, of both directions
+            ends, others, share = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((most, most))
+            best = np.lexsort((others, -share, ends))
+            first = np.flatnonzero(np.concatenate(([True], ends[best][1:] != ends[best][:-1])))[: len(ends)]
+            found.append(np.stack([ends[best][first], others[best][first], share[best][first]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        return pa.table({name: pa.array(pairs[:, k], pa.int64()) for k, name in enumerate(("a", "b", "most"))})
+
+    found = lists.groupBy("f").applyInArrow(pair, "a long, b long, most long")
+    if near:
+        best = found.groupBy("a").agg(F.max(F.struct("most", "b")).alias("best"))
+        found = best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def similar(
@@ -267,12 +318,16 @@ def similar(
     ensure_checkpoints(spark)
     rows = sets(docs, doc_id, text, shingle, percent).checkpoint()
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("shared").alias("shared")
+        F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("shared").alias("shared"), F.first("bits").alias("bits")
     ).checkpoint()
     prefix = prefixes(nodes, percent)
-    near = linked(nodes, first_pairs(prefix), percent).select("a", "b").checkpoint()
-    rest = linked(nodes, second_pairs(prefix, components(near), percent), percent).select("a", "b").checkpoint()
-    of = components(near.unionByName(rest))
+    size = nodes.agg(F.sum(F.octet_length("shared"))).first()[0] or 0
+    fragments = min(partitions(spark), size // FRAGMENT + 1)
+    links = linked(nodes, first_pairs(prefix), percent, fragments).checkpoint()
+    for near in (NEAR, None):
+        more = open_pairs(nodes, prefix, components(links), percent, near)
+        links = links.unionByName(linked(nodes, more, percent, fragments)).checkpoint()
+    of = components(links)
     members = rows.where("node is not null").select("doc_id", "n", "node", "text_key").join(of, "node", "left").select(
         "doc_id", "n", F.coalesce("component", "node").alias("component"), "text_key"
     )
