@@ -122,9 +122,12 @@ def test_jaccard_chains(spark):
     assert bag(jaccard_join.similar(cases.frame(spark, table)), "doc_id", "n_shingles", "component_id") == cases.groups(table)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [7, 500_000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     links = [(k, k + 1) for k in range(1, 30)] + [(100, k) for k in range(101, 160)] + [(200, 200), (301, 300)]
-    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(12)
+    found = {r.node: r.component for r in components.components(frame).collect()}
     assert found == {k: 1 for k in range(1, 31)} | {k: 100 for k in range(100, 160)} | {300: 300, 301: 300}
 
 
