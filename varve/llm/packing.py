@@ -10,7 +10,9 @@ numbered by many tasks.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from typing import NamedTuple
 
@@ -38,6 +40,61 @@ def chunks(text: str) -> list[str]:
     return [first, *[" " + part for part in rest]]
 
 
+#: A space, letters of European languages and stops: two words for the merges, without a pre-tokenizer.
+PLAIN = re.compile(r" ([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary shows each byte: itself if it is printable,
+    else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
+
+
+class Encoder:
+    """Little-endian ids of chunks; plain ones go straight to the tokenizer's merges."""
+
+    def __init__(self, tokenizer_file: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(tokenizer_file)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.merge = self.whole.model.tokenize
+        self.characters = byte_characters()
+        self.space = self.characters[32]
+
+    def plain(self, letters: str, stops: str) -> bytes:
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.characters)
+        tokens = self.merge(self.space + letters)
+        return packed([t.id for t in (tokens + self.merge(stops) if stops else tokens)])
+
+    def encode(self, chunks: list[str]) -> dict[str, bytes]:
+        out, rest = {}, []
+        for chunk in chunks:
+            match = PLAIN.fullmatch(chunk)
+            if match:
+                out[chunk] = self.plain(*match.groups())
+            else:
+                rest.append(chunk)
+        for chunk, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+            out[chunk] = packed(found.ids)
+        return out
+
+
 def tokenize(
     docs: DataFrame, tokenizer_file: str, size: int = SIZE, end_id: int = 0, doc_id: str = "doc_id",
     text: str = "text", entries: int = TABLE_ENTRIES, keep_ids: bool = True,
@@ -52,14 +109,7 @@ def tokenize(
         schema += ", ids array<int>"
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(tokenizer_file)
-        encoder.no_truncation()
-        encoder.no_padding()
+        encoder = Encoder(tokenizer_file)
         table: dict[str, bytes] = {}  # little-endian ids of each distinct chunk
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -70,9 +120,7 @@ def tokenize(
                 if len(table) + len(new) > entries:
                     table.clear()
                     new = wanted
-                new = list(new)
-                for chunk, found in zip(new, encoder.encode_batch_fast(new, add_special_tokens=False)):
-                    table[chunk] = np.array(found.ids, "<u4").tobytes()
+                table.update(encoder.encode(list(new)))
                 rows: dict[str, list] = {name.split()[0]: [] for name in schema.split(", ")}
                 for key, chunk in zip(part.ids, parts):
                     ids = b"".join(map(table.__getitem__, chunk)) + end
