@@ -38,6 +38,9 @@ class Spec:
     sequence: tuple[str, ...] = ("effective_date", "batch_id")
     # Compare stored hashes, as a hash-based MERGE would, instead of the columns.
     compare_hashes: bool = False
+    # A batch may hold several changes of a key, told apart by the sequence, which starts with
+    # the effective date.
+    many_per_batch: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -96,6 +99,8 @@ def apply_changes(dimension: DataFrame, changes: DataFrame, spec: Spec = CUSTOME
     batch is broadcast and the dimension is not shuffled; a large one is hash-joined.
     A change dated before the current version it would close fails the job.
     """
+    if spec.many_per_batch:
+        return _apply_runs(dimension, changes, spec)
     batch = _one_change_per_key(changes, spec)
     current = dimension.where("is_current")
     touched = (
@@ -131,6 +136,33 @@ def apply_changes(dimension: DataFrame, changes: DataFrame, spec: Spec = CUSTOME
     return closed.unionByName(kept).unionByName(opened)
 
 
+def _apply_runs(dimension: DataFrame, changes: DataFrame, spec: Spec) -> DataFrame:
+    """One batch with several changes per key: the current version of a key that it touches
+    becomes the first row of the key's run of changes, and the runs are built as a log."""
+    if spec.sequence[0] != spec.effective or spec.compare_hashes:
+        raise ValueError("runs of changes compare columns, and their sequence starts with the effective date")
+    current = dimension.where("is_current")
+    first = changes.groupBy(*spec.keys).agg(
+        F.min(spec.effective).alias("__since"), F.lit(True).alias("__touched")
+    )
+    met = current.alias("c").join(first.alias("f"), spec.same_key("c", "f"), "left")
+    kept = met.where("__touched IS NULL").select(*[F.col(f"c.{c}").alias(c) for c in spec.columns])
+    begun = F.when(
+        F.col("__since") < F.col("valid_from"),
+        F.raise_error(F.lit("a change is dated before the version it replaces")),
+    ).otherwise(F.col("valid_from"))
+    # NULLs sort first, so the version stands before changes of its own day
+    later = [c for c in spec.sequence if c != spec.effective]
+    opening = met.where("__touched").select(
+        *[F.col(f"c.{c}").alias(c) for c in (*spec.keys, *spec.tracked)],
+        begun.alias(spec.effective), F.lit("U").alias(spec.op),
+        *[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in later],
+    )
+    runs = from_log(opening.unionByName(changes.select(*opening.columns)), spec)
+    closed = dimension.where(~F.col("is_current")).select(*spec.columns)
+    return closed.unionByName(kept).unionByName(runs.select(*spec.columns))
+
+
 def merge_changes(changes: DataFrame, target: str, spec: Spec = CUSTOMER) -> None:
     """The same batch as one MERGE into a table, for formats that support row updates.
 

@@ -69,6 +69,22 @@ _ORDER_LOG_SQL = (
             FROM ranked WHERE rn = 1)"""
 )
 
+# Every order is a change of its own day; a batch holds as many of a customer as there are.
+_ORDER_STEP = {**_ORDER_CHANGE, "effective_date": "o_orderdate", "seq": "o_orderkey"}
+_STEP_SPEC = scd2.Spec(sequence=("effective_date", "seq"), many_per_batch=True)
+
+
+def _order_steps(spark, sf_dir) -> DataFrame:
+    orders = standin.load(spark, sf_dir).orders.withColumn("batch_id", F.expr(_ORDER_BATCH))
+    return standin.derived(orders, _ORDER_STEP)
+
+
+_ORDER_STEP_SQL = (
+    "WITH " + standin.oracle_cte("orders") + f""",
+    log AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _ORDER_STEP.items())}
+            FROM (SELECT *, {_ORDER_BATCH} AS batch_id FROM v_orders))"""
+)
+
 # Many changes per user: every event is one, ordered by time.
 _EVENT_CHANGE = {
     "batch_id": "1",
@@ -107,6 +123,7 @@ _VERSIONS_SQL = """,
             FROM c WHERE state IS NOT NULL)
 """
 _ORDER_DIM_SQL = _ORDER_LOG_SQL + _VERSIONS_SQL.format(order="effective_date, batch_id")
+_STEP_DIM_SQL = _ORDER_STEP_SQL + _VERSIONS_SQL.format(order="effective_date, seq")
 _EVENT_DIM_SQL = _EVENT_LOG_SQL + _VERSIONS_SQL.format(order="ts, seq")
 
 
@@ -115,9 +132,14 @@ def _folded(spark, sf_dir):
     return scd2.fold(scd2.empty(spark, log), log, [1, 2, 3])
 
 
+def _folded_steps(spark, sf_dir):
+    log = _order_steps(spark, sf_dir)
+    return scd2.fold(scd2.empty(spark, log, _STEP_SPEC), log, [1, 2, 3], _STEP_SPEC)
+
+
 def _lookup(spark, sf_dir):
     asked = standin.parquet(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("batch_id"))
-    return scd2.log_contains(_order_log(spark, sf_dir), asked)
+    return scd2.log_contains(_order_feed(spark, sf_dir), asked)
 
 
 register("change_feed_rows", _order_feed,
@@ -136,6 +158,14 @@ register(
 )
 register("scd2_apply_batches", _folded, _ORDER_DIM_SQL + "SELECT * FROM dim")
 register("scd2_from_log", _event_dimension, _EVENT_DIM_SQL + "SELECT * FROM dim")
+register("scd2_apply_batches_orders", _folded_steps, _STEP_DIM_SQL + "SELECT * FROM dim")
+register(
+    "scd2_snapshot_orders",
+    lambda spark, sf_dir: scd2.snapshot(scd2.from_log(_order_steps(spark, sf_dir), _STEP_SPEC)),
+    _STEP_DIM_SQL + """
+    SELECT customer_id, name, segment, city, CAST(valid_from AS VARCHAR) AS valid_from,
+           CAST(valid_to AS VARCHAR) AS valid_to, is_current FROM dim""",
+)
 register(
     "scd2_snapshot",
     # three batches per customer: a plain chunk per batch needs no range shuffle
@@ -487,32 +517,42 @@ def _stream_bronze(spark, sf_dir):
     )
 
 
-def _order_store(spark, base: str, name: str) -> DimensionStore:
+_STEP_SCHEMA = f"{changes.SCHEMA}, seq BIGINT"
+
+
+def _order_store(spark, base: str, name: str, steps: bool = False) -> DimensionStore:
+    if steps:
+        return DimensionStore(spark, f"{base}/{name}", _STEP_SCHEMA, _STEP_SPEC)
     return DimensionStore(spark, f"{base}/{name}", changes.SCHEMA)
 
 
-def _store_dimension(spark, sf_dir):
+def _store_dimension(spark, sf_dir, steps: bool = False):
     """The order log ingested batch by batch and applied from the stored log."""
-    store = _order_store(spark, _scratch(spark), "dimension")
-    log = _order_log(spark, sf_dir)
+    store = _order_store(spark, _scratch(spark), "dimension", steps)
+    log = (_order_steps if steps else _order_log)(spark, sf_dir)
     for batch_id in (1, 2, 3):
         store.ingest(batch_id, log.where(F.col("batch_id") == batch_id))
         store.apply_pending()
     return store.dimension()
 
 
-def _stream_dimension(spark, sf_dir):
+def _stream_dimension(spark, sf_dir, steps: bool = False):
     """The order log as change files that a stream folds into the dimension."""
     base = _scratch(spark)
-    _order_log(spark, sf_dir).repartition(6).write.parquet(f"{base}/feed")
-    store = _order_store(spark, base, "dimension")
-    stream = ingest.read_files(spark, f"{base}/feed", changes.SCHEMA, max_files=2)
+    log = (_order_steps if steps else _order_log)(spark, sf_dir)
+    log.repartition(6).write.parquet(f"{base}/feed")
+    store = _order_store(spark, base, "dimension", steps)
+    stream = ingest.read_files(spark, f"{base}/feed", store.changes_schema, max_files=2)
     ingest.to_dimension(stream, store, f"{base}/progress")
     return store.dimension()
 
 
 register("scd2_store", _store_dimension, _ORDER_DIM_SQL + "SELECT * FROM dim")
 register("stream_scd2", _stream_dimension, _ORDER_DIM_SQL + "SELECT * FROM dim")
+register("scd2_store_orders", lambda spark, sf_dir: _store_dimension(spark, sf_dir, steps=True),
+         _STEP_DIM_SQL + "SELECT * FROM dim")
+register("stream_scd2_orders", lambda spark, sf_dir: _stream_dimension(spark, sf_dir, steps=True),
+         _STEP_DIM_SQL + "SELECT * FROM dim")
 
 register("stream_bronze", _stream_bronze, """
     SELECT event_id, user_id, event_type, value, 'stream-1' AS _batch_id,
