@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from varve.llm import (
@@ -122,6 +123,37 @@ def test_jaccard_chains(spark):
     assert bag(jaccard_join.similar(cases.frame(spark, table)), "doc_id", "n_shingles", "component_id") == cases.groups(table)
 
 
+def test_jaccard_long_lists(spark, monkeypatch):
+    """Lists over a size are split by a second shingle and blocks; the rounds before are held back so that
+    the last one has all pairs to find."""
+    monkeypatch.setattr(jaccard_join, "LIST", 4)
+    monkeypatch.setattr(jaccard_join, "WIDE", 8)
+    monkeypatch.setattr(jaccard_join, "CENTERS", 1)
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(6))
+    short, base = [word() for _ in range(7)], [word() for _ in range(50)]
+    table = [(k, " ".join([*short, word()])) for k in range(60)]
+    for k in range(60, 130):
+        own = list(base)
+        for _ in range(k % 3 + 1):
+            own[rnd.randrange(50)] = rnd.choice(base[:5])
+        table.append((k, " ".join(own[: 50 - k % 7])))
+    found = jaccard_join.similar(cases.frame(spark, table))
+    assert bag(found, "doc_id", "n_shingles", "component_id") == cases.groups(table)
+
+
+def test_jaccard_template_makes_no_pairs(spark):
+    """Many sets of the same template with one own shingle: the bounds exclude the blocks as a whole."""
+    sets = spark.range(3 * jaccard_join.LIST).selectExpr(
+        "7L AS key", "id AS node", "4 AS n", "3 AS ahead", "id AS component"
+    )
+    assert jaccard_join.block_pairs(sets, 75)[1].count() == 0
+    near = sets.withColumn("ahead", F.lit(4))
+    pairs = jaccard_join.block_pairs(near, 75)[1]
+    kinds, parts = jaccard_join.KINDS, 1
+    assert pairs.count() == kinds * parts * (kinds * parts + 1) // 2
+
+
 @pytest.mark.parametrize("at_once", [7, 500_000])
 def test_components(spark, monkeypatch, at_once):
     monkeypatch.setattr(components, "AT_ONCE", at_once)

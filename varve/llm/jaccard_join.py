@@ -10,7 +10,9 @@ Nodes are distinct sets, so copies meet once. Pairs are asked for in three round
 is compared only with the set of each prefix list that has fewest shingles of its own, most often the
 original of a group. In the second it is compared with the likeliest set of another component. In the
 last, every pair of a prefix list is compared whose ends are not yet in one component, and whose lengths,
-places in the order and bitmaps allow the overlap. No link between components is lost, and a group
+places in the order and bitmaps allow the overlap. A list of more than LIST sets is first split by a second
+common shingle, and what is still long is cut into blocks of equal length and place; only pairs of blocks
+that the bounds allow are compared, each in a task's group of its own. No link between components is lost, and a group
 never becomes all its pairs.
 
 A bitmap holds the parity of the shingles that fall on each of its bits. Two bitmaps differ in at most
@@ -39,6 +41,11 @@ PERCENT = 75
 #: second; the last round is exact for what they leave.
 CENTERS, NEAR = 2, 64
 BITS = 1024
+#: Sets of a list that one group of a task compares in the last round; a longer list is refined and cut
+#: into blocks of about so many. In the second round lists are cut after WIDE sets.
+LIST, WIDE = 4096, 1 << 16
+#: Hash parts of the components of a block, so that large components have blocks of their own.
+KINDS = 16
 #: Pairs that may be sent to every task: at most 24 bytes each.
 SMALL = 200_000
 #: Bytes of shingles that make a fragment worth its while.
@@ -248,20 +255,124 @@ def first_pairs(prefix: DataFrame) -> DataFrame:
     return best.select(F.explode("best.a").alias("a"), "b")
 
 
-def open_pairs(nodes: DataFrame, prefix: DataFrame, of: DataFrame, percent: int, near: int | None) -> DataFrame:
-    """Pairs of a prefix list in different components that may still be similar: all of them, or
-    with ``near`` the likeliest of each set among so many places ahead in its lists."""
-    placed = prefix.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    buckets = BUCKETS * partitions(prefix.sparkSession)
-    lists = placed.join(mixed_keys, "key").withColumn("f", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    lists = lists.join(nodes.select("node", "bits"), "node").select("f", "key", "node", "n", "place", "component", "bits")
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The keys of lists that hold more than one component, with their sizes."""
+    return placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
+    ).where("low <> high").select("key", "size")
+
+
+def two_common(nodes: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Long lists by pairs of shingles: key, node, n, ahead, component.
+
+    Sets that need an overlap of c share two of the first n - c + 2 shingles of either. So where ``key``
+    is their first common shingle, the second follows it within those, and no more can be
+    common than the first and what follows from the second on."""
+
+    def cut(batches):
+        for batch in batches:
+            key, node, n, alone, place, component = (batch.column(c).to_numpy() for c in ("key", "node", "n", "alone", "place", "component"))
+            n, alone, place = n.astype(np.int64), alone.astype(np.int64), place.astype(np.int64)
+            stop = n + percent * -n // 100 + 2 - alone
+            seconds = [np.frombuffer(cell, "<i8")[low:high] for cell, low, high in zip(batch.column("shared").to_pylist(), place - alone + 1, stop)]
+            count = np.array([len(second) for second in seconds], dtype=np.int64)
+            at = np.repeat(place, count) + 1 + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            both = mixed(np.repeat(key, count).view(np.uint64)) ^ np.concatenate([*seconds, np.zeros(0, np.int64)]).view(np.uint64)
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(both.view(np.int64), pa.int64()), "node": pa.array(np.repeat(node, count), pa.int64()),
+                "n": pa.array(np.repeat(n, count).astype(np.int32), pa.int32()),
+                "ahead": pa.array((np.repeat(n, count) - at + 1).astype(np.int32), pa.int32()),
+                "component": pa.array(np.repeat(component, count), pa.int64()),
+            })
+
+    held = lists.select("key", "node", "n", "alone", "place", "component").join(nodes.select("node", "shared"), "node")
+    return held.mapInArrow(cut, "key long, node long, n int, ahead int, component long")
+
+
+def block_pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks of long lists, and the pairs (x, y) of their parts that may hold similar sets of two components.
+
+    A block has one length and place, so the bounds hold or fail for all its pairs at once."""
+    blocks = lists.withColumn("kind", F.pmod(F.xxhash64("component"), F.lit(KINDS)).cast("int")).groupBy("key", "n", "ahead", "kind").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / LIST).cast("int").alias("parts")
+    ).checkpoint()
+    names = ("ahead", "kind", "low", "high", "parts")
+    x = blocks.select("key", F.col("n").alias("nx"), *[F.col(c).alias(c + "x") for c in names])
+    x = x.withColumn("n", F.explode(F.sequence("nx", F.expr(f"CAST(100L * nx DIV {percent} AS INT)"))))
+    y = blocks.select("key", "n", *[F.col(c).alias(c + "y") for c in names])
+    met = x.join(y, ["key", "n"]).where(
+        "(nx, aheadx, kindx) <= (n, aheady, kindy) AND NOT (lowx = highx AND lowy = highy AND lowx = lowy) "
+        f"AND {100 + percent} * least(aheadx, aheady) >= {percent} * (nx + n)"
+    )
+    met = met.withColumn("partx", F.explode(F.expr("sequence(0, partsx - 1)"))).withColumn("party", F.explode(F.expr("sequence(0, partsy - 1)")))
+    met = met.where("(nx, aheadx, kindx) < (n, aheady, kindy) OR partx <= party")
+    return blocks, met.select(
+        F.struct("key", F.col("nx").alias("n"), F.col("aheadx").alias("ahead"), F.col("kindx").alias("kind"), F.col("partx").alias("part")).alias("x"),
+        F.struct("key", "n", F.col("aheady").alias("ahead"), F.col("kindy").alias("kind"), F.col("party").alias("part")).alias("y"),
+    )
+
+
+def _allowed(a, b, node, n, ahead, group, bits, percent: int):
+    """Rows of a, b that the components and the bounds leave, with the overlap that bitmaps allow."""
+    keep = (group[a] != group[b]) & ((100 + percent) * np.minimum(ahead[a], ahead[b]) >= percent * (n[a] + n[b]))
+    a, b = a[keep], b[keep]
+    most = (n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)) // 2
+    keep = (100 + percent) * most >= percent * (n[a] + n[b])
+    return a[keep], b[keep], most[keep]
+
+
+def _columns(table: pa.Table):
+    node, n, ahead, group = (table.column(c).to_numpy() for c in ("node", "n", "ahead", "component"))
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), BITS // 64)
+    return node, n.astype(np.int64), ahead.astype(np.int64), group, bits
+
+
+def _in_blocks(nodes: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long lists, block by block."""
+    blocks, pairs = block_pairs(lists, percent)
+    kept = pairs.checkpoint()
+    asks = kept.select(F.col("x").alias("block"), "x", "y", F.lit(0).alias("side")).unionByName(
+        kept.where("x <> y").select(F.col("y").alias("block"), "x", "y", F.lit(1).alias("side"))
+    )
+    rows = lists.withColumn("kind", F.pmod(F.xxhash64("component"), F.lit(KINDS)).cast("int")).join(
+        blocks.select("key", "n", "ahead", "kind", "parts"), ["key", "n", "ahead", "kind"]
+    ).withColumn("block", F.struct("key", "n", "ahead", "kind", F.expr("CAST(pmod(xxhash64(node), parts) AS INT)").alias("part")))
+    # only rows of blocks that are compared need their bitmaps
+    used = rows.join(asks.select("block").distinct(), "block", "left_semi").join(nodes.select("node", "bits"), "node")
+    sent = used.select("block", "node", "n", "ahead", "component", "bits").join(asks, "block").drop("block")
+
+    def pair(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        columns = _columns(table)
+        node = columns[0]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alike = table.column("x")[0] == table.column("y")[0]
+        right = left if alike else right
+        step, found = max(1, (1 << 18) // max(1, len(right))), []
+        for low in range(0, len(left), step):
+            a = np.repeat(left[low:low + step], len(right))
+            b = np.tile(right, len(left[low:low + step]))
+            if alike:
+                a, b = a[a < b], b[a < b]
+            a, b, _ = _allowed(a, b, *columns, percent)
+            found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return sent.groupBy("x", "y").applyInArrow(pair, "a long, b long")
+
+
+def _in_lists(nodes: DataFrame, lists: DataFrame, percent: int, near: int | None) -> DataFrame:
+    """Pairs of short lists: a, b and the overlap that bitmaps allow."""
+    buckets = BUCKETS * partitions(nodes.sparkSession)
+    lists = lists.withColumn("f", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    lists = lists.join(nodes.select("node", "bits"), "node").select("f", "key", "node", "n", "ahead", "component", "bits")
 
     def pair(table: pa.Table) -> pa.Table:
-        key, node, n, place, group = (table.column(c).to_numpy() for c in ("key", "node", "n", "place", "component"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(key), BITS // 64)
+        key = table.column("key").to_numpy()
+        node, n, ahead, group, bits = _columns(table)
         order = np.lexsort((node, n, key))
-        key, node, n, place, group, bits = key[order], node[order], n[order].astype(np.int64), place[order].astype(np.int64), group[order], bits[order]
+        key, node, n, ahead, group, bits = key[order], node[order], n[order], ahead[order], group[order], bits[order]
         # partners follow in the list and are at most so much larger
         width = int(n.max(initial=0)) + 1
         number = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
@@ -277,12 +388,8 @@ def open_pairs(nodes: DataFrame, prefix: DataFrame, of: DataFrame, percent: int,
             a = np.repeat(rows, counts)
             b = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + a + 1
             # in the list of their first common shingle no more can be common than what follows
-            ahead = np.minimum(n[a] - place[a], n[b] - place[b])
-            keep = (group[a] != group[b]) & ((100 + percent) * ahead >= percent * (n[a] + n[b]))
-            a, b = a[keep], b[keep]
-            most = (n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)) // 2
-            keep = (100 + percent) * most >= percent * (n[a] + n[b])
-            a, b, most = node[a[keep]], node[b[keep]], most[keep]
+            a, b, most = _allowed(a, b, node, n, ahead, group, bits, percent)
+            a, b = node[a], node[b]
             if not near:
                 found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), 0 * most], axis=1), axis=0))
                 continue
@@ -294,11 +401,32 @@ def open_pairs(nodes: DataFrame, prefix: DataFrame, of: DataFrame, percent: int,
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
         return pa.table({name: pa.array(pairs[:, k], pa.int64()) for k, name in enumerate(("a", "b", "most"))})
 
-    found = lists.groupBy("f").applyInArrow(pair, "a long, b long, most long")
+    return lists.groupBy("f").applyInArrow(pair, "a long, b long, most long")
+
+
+def open_pairs(nodes: DataFrame, prefix: DataFrame, of: DataFrame, percent: int, near: int | None) -> DataFrame:
+    """Pairs of a prefix list in different components that may still be similar: all of them, or
+    with ``near`` the likeliest of each set among so many places ahead in its lists."""
+    placed = prefix.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("ahead", F.expr("n - place"))
+    keys = _mixed(placed).checkpoint()
+    lists = placed.join(keys, "key")
     if near:
-        best = found.groupBy("a").agg(F.max(F.struct("most", "b")).alias("best"))
-        found = best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
-    return found.select("a", "b").distinct()
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / WIDE))
+        lists = lists.withColumn("key", F.when(F.col("size") > WIDE, F.xxhash64("key", part)).otherwise(F.col("key")))
+        best = _in_lists(nodes, lists, percent, near).groupBy("a").agg(F.max(F.struct("most", "b")).alias("best"))
+        return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+    found = _in_lists(nodes, lists.where(F.col("size") <= LIST), percent, None).select("a", "b")
+    if not keys.where(F.col("size") > LIST).isEmpty():
+        long = lists.where(F.col("size") > LIST)
+        # sets of one shingle have no second one, and at half or less may need only one in common
+        if percent > 50:
+            refined = two_common(nodes, long, percent)
+            keys = _mixed(refined).checkpoint()
+            long = refined.join(keys, "key")
+            found = found.unionByName(_in_lists(nodes, long.where(F.col("size") <= LIST), percent, None).select("a", "b"))
+            long = long.where(F.col("size") > LIST)
+        found = found.unionByName(_in_blocks(nodes, long, percent))
+    return found.distinct()
 
 
 def similar(
