@@ -163,3 +163,13 @@ def test_profile_of_each_kind(spark):
     )
     rows = {r.column_name: (r.measure, r.rows, float(r.total)) for r in quality.column_profile(df).collect()}
     assert rows == {"n": ("value", 2, 3.0), "s": ("length", 2, 3.0), "d": ("day", 2, 4.0)}
+
+
+def test_lines_without_a_published_count_are_held_against_the_orders(spark):
+    counts = spark.createDataFrame([("lineitem", 3)], "table_name STRING, rows LONG")
+    unknown = {"lineitem": F.lit(None).cast("bigint")}
+    status = lambda low, high: quality.count_report(
+        counts, unknown, {"lineitem": (F.lit(low), F.lit(high))}
+    ).first().status
+    assert status(1, 7) == "PASS" and status(4, 28) == "FAIL" and status(0, 0) == "FAIL"
+    assert quality.count_report(counts, unknown).first().status == "SKIP"

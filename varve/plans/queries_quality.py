@@ -238,6 +238,12 @@ def _scaled_expectations(tables) -> dict:
     return expected | {"lineitem": lineitem, "partsupp": F.lit(None).cast("bigint")}
 
 
+def _line_bounds(tables) -> dict:
+    """An order has 1 to 7 lines, at every scale."""
+    orders = tables.orders.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return {"lineitem": (orders, orders * 7)}
+
+
 def _row_counts(spark, sf_dir):
     tables = standin.load(spark, sf_dir)
     counts = layers.row_counts(dict(tables.items()))
@@ -267,6 +273,22 @@ register(
 )
 
 
+def _line_counts(spark, sf_dir):
+    """The lines against the orders alone, whatever count is published."""
+    tables = standin.load(spark, sf_dir)
+    counts = layers.row_counts({"lineitem": tables.lineitem})
+    return quality.count_report(counts, {}, _line_bounds(tables)).drop("expected_rows")
+
+
+register(
+    "quality_line_bounds",
+    _line_counts,
+    """SELECT 'lineitem' AS table_name, count(*) AS rows,
+              CASE WHEN count(*) BETWEEN (SELECT count(*) FROM orders) AND 7 * (SELECT count(*) FROM orders)
+              THEN 'PASS' ELSE 'FAIL' END AS status FROM lineitem""",
+)
+
+
 def _profile_sql(table: str) -> str:
     rows = []
     for f in schema.struct(table).fields:
@@ -387,7 +409,7 @@ register(
 
 def _report(spark, sf_dir):
     tables = standin.load(spark, sf_dir)
-    return quality.quality_checks(dict(tables.items()), _scaled_expectations(tables))
+    return quality.quality_checks(dict(tables.items()), _scaled_expectations(tables), _line_bounds(tables))
 
 
 _REPORT_SQL = f""",
