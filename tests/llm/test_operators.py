@@ -142,6 +142,35 @@ def test_jaccard_long_lists(spark, monkeypatch):
     assert bag(found, "doc_id", "n_shingles", "component_id") == cases.groups(table)
 
 
+def test_jaccard_blocks_find_what_whole_lists_find(spark, monkeypatch):
+    """The last round alone, without any component: every similar pair comes through second shingles and blocks."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(6))
+    base, table = [word() for _ in range(40)], []
+    for k in range(50):
+        own = list(base)
+        own[rnd.randrange(40)] = rnd.choice(base[:4])
+        table.append((k, " ".join(own[: 40 - k % 5])))
+    rows = jaccard_join.sets(cases.frame(spark, table), "doc_id", "text", 5, 75).where("node is not null").checkpoint()
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "alone", "shared", "bits")]).checkpoint()
+    prefix, none = jaccard_join.prefixes(nodes, 75), spark.createDataFrame([], "node LONG, component LONG")
+    in_blocks, sizes = jaccard_join._in_blocks, []
+
+    def seen(*parts):
+        found = in_blocks(*parts).checkpoint()
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_in_blocks", seen)
+    links = []
+    for size in (4, 1 << 20):
+        monkeypatch.setattr(jaccard_join, "LIST", size)
+        pairs = jaccard_join.open_pairs(nodes, prefix, none, 75, None)
+        links.append(bag(jaccard_join.linked(nodes, pairs, 75, 1).selectExpr("least(a, b)", "greatest(a, b)"), "*"))
+    assert len(sizes) == 1 and sizes[0] > 0
+    assert links[0] == links[1] and len(links[0]) > 20
+
+
 def test_jaccard_template_makes_no_pairs(spark):
     """Many sets of the same template with one own shingle: the bounds exclude the blocks as a whole."""
     sets = spark.range(3 * jaccard_join.LIST).selectExpr(
