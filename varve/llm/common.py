@@ -6,6 +6,7 @@ few MB of text, so the arrays of one slice bound a task's memory; a longer text
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -190,3 +191,29 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     step = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def chunked_word_hashes(data: np.ndarray, size: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+    """Hashes of the words of one text in their order, about ``size`` bytes of text at a time.
+
+    Equal to ``word_hashes``, but that a word of more than ``size`` bytes stands alone and is hashed
+    by blake2b, so no array of 64-bit values is longer than ``size``."""
+    starts, ends = runs(~_BLANK[data])
+    begin = 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + size, side="right")))
+        part = data[starts[begin]:ends[end - 1]]
+        if len(part) > size:
+            yield np.frombuffer(hashlib.blake2b(part, digest_size=8).digest(), np.uint64)
+        else:
+            yield word_hashes(part, starts[begin:end] - starts[begin], ends[begin:end] - starts[begin])
+        begin = end
+
+
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are flagged."""
+    if len(offsets) == 2:
+        return np.array([np.count_nonzero(flags)], np.int64)
+    sums = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return np.diff(sums[offsets])

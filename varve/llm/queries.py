@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import anchors, block_topk, divergence, jaccard_join, maxent_lm, packing, piece_codec, suffixes, token_counts, toxicity
+from varve.llm import anchors, block_topk, divergence, filter_audit, jaccard_join, maxent_lm, packing, piece_codec, suffixes, token_counts, toxicity
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -55,6 +55,10 @@ def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.dedup(documents(spark, sf_dir), keep=False)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffixes": op2_suffixes,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_anchors": op10_anchors,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 OP5_SQL = """
@@ -147,9 +152,42 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
+        coalesce(least.first < doc_id, least.first IS NOT NULL) AS copy
+    FROM documents LEFT JOIN (SELECT coalesce(text, '') AS same, min(doc_id) AS first FROM documents GROUP BY ALL) AS least
+        ON coalesce(text, '') = same
+), l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY ALL),
+cells AS (
+    SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+        + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT)
+        + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(copy AS INT) AS mask,
+        count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+    FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL
+), letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(o) AS (SELECT '' UNION ALL SELECT o || letter FROM orders, letters WHERE NOT contains(o, letter)),
+steps AS (
+    SELECT o AS filter_order, CAST(s AS INT) AS step, l.bit, l.letter,
+        CAST(coalesce((SELECT sum(e.bit) FROM letters AS e WHERE contains(left(o, s - 1), e.letter)), 0) AS INT) AS before
+    FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders WHERE length(o) = 5) JOIN letters AS l ON l.letter = substr(o, s, 1)
+), metrics AS (
+    SELECT part, filter_order, step, letter,
+        CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+        CAST(sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+        CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+        CAST(sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+    FROM cells, steps GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM metrics
+"""
+
 ORACLES: dict[str, str] = {
     "op2_suffixes": OP2_SQL,
     "op3_jaccard_join": OP3_SQL,
     "op5_block_topk": OP5_SQL,
     "op10_anchors": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
