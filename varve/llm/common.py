@@ -109,12 +109,13 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(piece: Slice, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a slice, and the index of each word's text.
 
-    A word never crosses from one text to the next.
+    A word never crosses from one text to the next. ``inside`` flags the bytes of words, if they are
+    not just those between blanks.
     """
-    inside = ~_BLANK[piece.data]
+    inside = ~_BLANK[piece.data] if inside is None else inside
     borders = np.zeros(len(inside) + 1, dtype=bool)
     borders[piece.offsets] = True
     starts = inside.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import anchors, block_topk, divergence, filter_audit, jaccard_join, maxent_lm, packing, piece_codec, suffixes, token_counts, toxicity
+from varve.llm import anchors, block_topk, divergence, filter_audit, jaccard_join, maxent_lm, packing, piece_codec, spelling, suffixes, token_counts, toxicity
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -59,6 +59,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffixes": op2_suffixes,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_maxent_lm": op9_maxent_lm,
     "op10_anchors": op10_anchors,
     "op11_filter_audit": op11_filter_audit,
+    "op13_spelling": op13_spelling,
 }
 
 OP5_SQL = """
@@ -184,10 +189,50 @@ steps AS (
 SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM metrics
 """
 
+# crc32 bit by bit: a byte of the list is added to the state, and each -1 shifts it once.
+OP13_SQL = r"""
+WITH RECURSIVE r AS (
+    SELECT doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+    ) WHERE length(run) >= 7 GROUP BY ALL
+), h AS (
+    SELECT *, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+            flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)),
+            lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) AS h
+    FROM r
+), w AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h)
+    GROUP BY word HAVING length(word) >= 7 AND sum(times) >= 2
+), less AS (SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM w)),
+pairs AS (
+    SELECT a.word, b.word AS near FROM less AS a JOIN less AS b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM less AS a JOIN w AS b ON b.word = a.rest
+    UNION SELECT b.word, a.word FROM less AS a JOIN w AS b ON b.word = a.rest
+), ranked AS (
+    SELECT p.word, p.near, w.n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.near) AS place
+    FROM pairs AS p JOIN w ON w.word = p.near
+), named AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN r.near END AS form, CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+    FROM w LEFT JOIN ranked AS r ON r.word = w.word AND place = 1
+), onward(word, root) AS (
+    SELECT word, word FROM named
+    UNION ALL
+    SELECT onward.word, named.form FROM onward JOIN named ON named.word = onward.root WHERE named.form IS NOT NULL
+)
+SELECT named.word, named.form, onward.root, named.n, named.n_near, named.form_n
+FROM named JOIN onward ON onward.word = named.word JOIN named AS last ON last.word = onward.root AND last.form IS NULL
+"""
+
 ORACLES: dict[str, str] = {
     "op2_suffixes": OP2_SQL,
     "op3_jaccard_join": OP3_SQL,
     "op5_block_topk": OP5_SQL,
     "op10_anchors": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op13_spelling": OP13_SQL,
 }
