@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import anchors, block_topk, divergence, filter_audit, jaccard_join, maxent_lm, packing, piece_codec, spelling, suffixes, token_counts, toxicity
+from varve.llm import (
+    anchors, block_topk, divergence, filter_audit, jaccard_join, maxent_lm, minhash, packing, piece_codec, spelling, suffixes, token_counts, toxicity,
+)
 from varve.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -59,6 +61,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_maxent_lm": op9_maxent_lm,
     "op10_anchors": op10_anchors,
     "op11_filter_audit": op11_filter_audit,
+    "op12_minhash": op12_minhash,
     "op13_spelling": op13_spelling,
 }
 
@@ -189,6 +196,30 @@ steps AS (
 SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM metrics
 """
 
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id
+    JOIN n AS x ON x.doc_id = a.doc_id JOIN n AS y ON y.doc_id = b.doc_id
+    WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach(a, b) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.least AS component_id, d.doc_id = c.least AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) AS c USING (doc_id)
+"""
+
 # crc32 bit by bit: a byte of the list is added to the state, and each -1 shifts it once.
 OP13_SQL = r"""
 WITH RECURSIVE r AS (
@@ -234,5 +265,6 @@ ORACLES: dict[str, str] = {
     "op5_block_topk": OP5_SQL,
     "op10_anchors": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_minhash": OP12_SQL,
     "op13_spelling": OP13_SQL,
 }
