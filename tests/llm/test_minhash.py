@@ -67,15 +67,27 @@ def test_near_duplicates(spark):
     assert found(cases.frame(spark, [(1, None), (2, ""), (None, None)])) == Counter([(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, True)])
 
 
-@pytest.mark.parametrize("crowd, block", [(256, 2048), (4, 16), (0, 5)])
-def test_families(spark, monkeypatch, crowd, block):
-    """The same links where lists are merged, where most are skipped, and where all pairs come from blocks."""
+@pytest.mark.parametrize("crowd, block, weight", [(256, 2048, 1 << 20), (4, 16, 3000), (0, 5, 1000)])
+def test_families(spark, monkeypatch, crowd, block, weight):
+    """The same links where lists are merged, where most are skipped, and where families have many blocks."""
     monkeypatch.setattr(minhash, "CROWD", crowd)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "WEIGHT", weight)
     rows = family(random.Random(6))
     assert found(cases.frame(spark, rows)) == plain(rows)
 
 
+def test_pairs_across_families(spark, monkeypatch):
+    """Without stars every link must come from merged lists or, where those are skipped, from blocks of signatures."""
+    rows = family(random.Random(11))
+    none = lambda posted, percent: posted.sparkSession.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(minhash, "centre_pairs", none)
+    assert found(cases.frame(spark, rows)) == plain(rows)
+    monkeypatch.setattr(minhash, "CROWD", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    assert found(cases.frame(spark, rows)) == plain(rows)
+
+
 def test_higher_limit(spark):
     rows = family(random.Random(7))
     assert found(cases.frame(spark, rows), percent=92) == plain(rows, percent=92)
@@ -95,8 +107,8 @@ def test_large_group_gives_few_pairs(spark):
     signed = minhash.signed(cases.frame(spark, rows))
     nodes = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature")).checkpoint()
     posted = minhash.postings(nodes).checkpoint()
-    pairs = minhash.first_pairs(posted, 80)
-    assert pairs.count() <= 400
+    pairs = minhash.centre_pairs(posted, 80)
+    assert pairs.count() <= 3 * 400
     one = posted.withColumn("component", F.lit(7).cast("long"))
     merged, dense = minhash.merged_pairs(one, 80)
     assert merged.count() == 0 and dense.count() == 0

@@ -7,12 +7,16 @@ MISS. Collisions are counted in three ways that leave out most lists:
 * Prefix: the pairs of a node have one global order, by the number of nodes under them. Nodes that agree in
   MATCHES coordinates share at least EXTRA of the first COORDINATES - MATCHES + EXTRA pairs of either, and pairs of
   one node alone are of no use; a node with less than EXTRA others among these has no partner, as most have none.
-* Contraction: first each node is compared with the one node of its lists that has fewest pairs of its own, most often the
-  original of a group. Lists that then lie in one component are left out, so a large group never becomes all its pairs.
+* Contraction: first each node is compared with those nodes that have fewest pairs of their own in one of its lists, most often
+  the originals of a group. Such pairs above the match threshold make up families, and the best of each node a star. A family is cut
+  into blocks, in which all sets are compared at once by a product of their incidence matrices: first the blocks of a star, and
+  then those pairs of blocks of the family that are not yet one component. What a task returns are links contracted where they
+  lie, so neither a group of near copies nor one of texts just too different becomes all its pairs. Lists that lie in one family
+  are left out of the merging.
 * Skipping: lists of more than CROWD nodes are not merged. A node has a known number of them, so a pair
   needs as many collisions less in the other lists. Only nodes with EXTRA crowded lists or more can be a pair
   without any other collision; they are compared by whole signatures in blocks of BLOCK nodes, those of like length and of
-  different components.
+  different families.
 
 Pairs above the match threshold are confirmed on full sets, which are made again from the texts of the candidates alone.
 
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 from varve.llm.common import (
     BYTE_BASE, WORD_BASE, Slice, chunked_word_hashes, ensure_checkpoints, id_and_bytes, lowered, mixed, partitions, slices, span_hashes,
 )
-from varve.llm.components import components
+from varve.llm.components import _stars, components
 from varve.llm.jaccard_join import shingle_sets
 from varve.llm.sliced import NO_ID, bucket_order, cells, send
 
@@ -46,8 +50,10 @@ SHINGLE, PERCENT = 2, 80
 COORDINATES, MISS = 128, 1e-9
 #: Collisions that a pair must have in the prefixes.
 EXTRA = 8
-#: Nodes of a list that is still merged, and nodes of a block.
+#: Nodes of a list that is still merged, and nodes of a block whose signatures are compared.
 CROWD, BLOCK = 256, 2048
+#: Shingles of a block of sets, where every set counts SET more, so that a block has at most 2048 of them.
+WEIGHT, SET = 1 << 20, 1 << 9
 #: Nodes whose pairs are asked for together, and pairs that make up a bucket.
 SLICE, BUCKET = 4096, 1 << 22
 LONG = 8 << 20
@@ -202,13 +208,13 @@ def _like(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def first_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """Each node with the centre that it collides with most; the centre of a list is the node with fewest pairs of its own."""
+def centre_pairs(posted: DataFrame, percent: int) -> DataFrame:
+    """a, b: each node with the centres that it collides with often enough; the centre of a list is the node with fewest pairs of
+    its own."""
     centres = posted.groupBy("key").agg(F.min(F.struct("own", "node", "n")).alias("c")).select(
-        "key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    met = posted.join(centres, "key").where(F.col("node") != F.col("centre")).where(_like(F.col("n"), F.col("centre_n"), percent))
-    counted = met.groupBy("node", "centre").count().where(F.col("count") >= EXTRA)
-    return counted.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
+        "key", F.col("c.node").alias("b"), F.col("c.n").alias("n_b"))
+    met = posted.withColumnRenamed("node", "a").join(centres, "key").where(F.col("a") != F.col("b")).where(_like(F.col("n"), F.col("n_b"), percent))
+    return met.groupBy("a", "b").count().where(F.col("count") >= EXTRA).select("a", "b")
 
 
 def merged_pairs(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -281,27 +287,29 @@ def block_pairs(dense: DataFrame, percent: int) -> DataFrame:
 
 
 def matching(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in MATCHES coordinates or more."""
+    """a, b, matches: the pairs whose signatures agree in MATCHES coordinates or more."""
     signatures = nodes.select("node", "signature")
     both = pairs.join(signatures.toDF("a", "left"), "a").join(signatures.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def count(batches):
         for batch in batches:
-            left, right = (cells(pa.Table.from_batches([batch]), c, "<u4")[0].reshape(-1, COORDINATES) if batch.num_rows else np.zeros((0, COORDINATES)) for c in ("left", "right"))
-            yield batch.select(["a", "b"]).filter(pa.array((left == right).sum(axis=1) >= MATCHES, pa.bool_()))
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                left, right = (cells(table, c, "<u4")[0].reshape(-1, COORDINATES) for c in ("left", "right"))
+                matches = (left == right).sum(axis=1)
+                yield batch.select(["a", "b"]).append_column("matches", pa.array(matches, pa.int64())).filter(pa.array(matches >= MATCHES))
 
-    return both.mapInArrow(count, "a long, b long")
+    return both.mapInArrow(count, "a long, b long, matches long")
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """a, b: the pairs whose full sets are similar enough; the sets are made from one text of each node that is in a pair."""
-    pairs = pairs.checkpoint()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "text_key"), "node")
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """node, held: the shingles of the ``wanted`` nodes, packed in rising order, made from one text of each."""
     keyed = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"),
         F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key"),
     )
-    texts = keyed.join(wanted, ["id", "text_key"]).dropDuplicates(["node"])
+    asked = wanted.select("node").distinct().join(nodes.select("node", "id", "text_key"), "node")
+    texts = keyed.join(asked, ["id", "text_key"]).dropDuplicates(["node"])
 
     def shingled(batches):
         for batch in batches:
@@ -312,10 +320,100 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str,
                     "held": pa.array([values[x:y].tobytes() for x, y in zip(borders, borders[1:])], pa.binary()),
                 })
 
-    sets = id_and_bytes(texts, "node").mapInArrow(shingled, "node long, held binary").checkpoint()
+    return id_and_bytes(texts, "node").mapInArrow(shingled, "node long, held binary").checkpoint()
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shingles in common of every set of ``left`` with every one of ``right``, by products of incidence matrices over the
+    shingles that two sets or more hold, a part of them at a time."""
+    held = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+    keys, column, times = np.unique(held, return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(columns, (1 << 24) // len(sets)))
+    total = np.zeros((len(left), len(right)))
+    for low in range(0, columns, width):
+        some = slice(*np.searchsorted(column, (low, low + width)))
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[some], column[some] - low] = 1
+        total += has[left] @ has[right].T
+    return total
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between the components of each group, contracted. ``rows``: g, side, node, component; the nodes of side 0 are
+    compared with those of side 1, or with one another where there is no side 1."""
+    parts = partitions(rows.sparkSession)
+    weight = rows.join(sets.select("node", F.octet_length("held").alias("size")), "node").agg(F.sum(F.col("size") / 8 + SET)).first()[0] or 0
+    buckets = int(max(weight // WEIGHT + 1, min(parts, weight // (WEIGHT >> 4) + 1)))
+    sent = rows.join(sets, "node").withColumn("bucket", F.pmod("g", F.lit(buckets)).cast("int"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("g", "ascending"), ("side", "ascending")])
+        g, side, node, component = (table.column(c).to_numpy() for c in ("g", "side", "node", "component"))
+        sets = [np.frombuffer(cell.as_buffer(), "<u8") for cell in table.column("held")]
+        sizes = np.array([len(own) for own in sets], np.int64)
+        found = [pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})]
+        borders = np.concatenate((np.flatnonzero(np.diff(g, prepend=g[0] - 1)), [len(g)]))
+        for low, high in zip(borders, borders[1:]):
+            if component[low:high].min() == component[low:high].max():
+                continue
+            own = np.arange(high - low)
+            left, right = own[side[low:high] == 0], own[side[low:high] == 1]
+            right = right if len(right) else left
+            common = _overlaps(sets[low:high], left, right)
+            n, one = sizes[low:high], component[low:high]
+            near = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+            i, j = np.nonzero(near & (one[left][:, None] != one[right][None, :]))
+            ends = np.stack([node[low + left[i]], node[low + right[j]]])
+            links = pa.RecordBatch.from_pydict({"u": pa.array(ends.max(axis=0), pa.int64()), "v": pa.array(ends.min(axis=0), pa.int64())})
+            found += [pa.Table.from_batches([batch]) for batch in _stars([links])]
+        return pa.concat_tables(found).rename_columns(["a", "b"])
+
+    return sent.groupBy("bucket").applyInArrow(compare, "a long, b long")
+
+
+def star_rows(stars: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Groups of a centre and a block of the nodes around it; the centre is in all of its blocks."""
+    around = stars.select(F.col("a").alias("node"), F.col("b").alias("centre"))
+    weighed = around.join(nodes.select("node", "n"), "node").groupBy("centre").agg(
+        F.ceil(F.sum(F.col("n") + SET) / WEIGHT).cast("int").alias("blocks"))
+    members = around.join(weighed, "centre").select("node", "centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    centres = weighed.select(F.col("centre").alias("node"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return members.unionByName(centres).select(F.xxhash64("centre", "block").alias("g"), F.lit(0).alias("side"), "node", F.col("node").alias("component"))
+
+
+def family_rows(belongs: DataFrame) -> DataFrame:
+    """Groups of two blocks of a family, or of one with itself, that are not in one component. ``belongs``: node, n, component,
+    family. A component that fills a block has blocks of its own, the others of a family share theirs."""
+    open_ = belongs.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("family")
+    rows = belongs.join(open_, "family").withColumn("weight", F.col("n") + SET)
+    full = rows.groupBy("family", "component").agg(F.sum("weight").alias("total")).where(F.col("total") >= WEIGHT).select(
+        "family", "component", F.lit(True).alias("whole"))
+    pooled = rows.join(full, ["family", "component"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))).withColumn(
+        "pool", F.when(F.col("whole"), F.xxhash64("family", "component")).otherwise(F.xxhash64("family")))
+    pools = pooled.groupBy("family", "pool", "whole").agg(F.ceil(F.sum("weight") / WEIGHT).cast("int").alias("blocks"))
+    placed = pooled.join(pools.select("pool", "blocks"), "pool").select(
+        "node", "component", "pool", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    blocks = pools.select("family", "pool", "whole", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    other = blocks.select("family", F.col("pool").alias("pool_b"), F.col("block").alias("block_b"))
+    met = blocks.join(other, "family").where(
+        (F.struct("pool", "block") <= F.struct(F.col("pool_b"), F.col("block_b"))) & ~(F.col("whole") & (F.col("pool") == F.col("pool_b")))
+    ).withColumn("g", F.xxhash64("pool", "block", "pool_b", "block_b"))
+    first = met.select("pool", "block", "g", F.lit(0).alias("side"))
+    second = met.where("pool <> pool_b OR block <> block_b").select(F.col("pool_b").alias("pool"), F.col("block_b").alias("block"), "g", F.lit(1).alias("side"))
+    return placed.join(first.unionByName(second), ["pool", "block"]).select("g", "side", "node", "component")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
-    def similar(batches):
+    def confirm(batches):
         for batch in batches:
             flags = []
             for x, y in zip(batch.column("left"), batch.column("right")):
@@ -326,7 +424,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str,
                 flags.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(flags, pa.bool_()))
 
-    return both.mapInArrow(similar, "a long, b long")
+    return both.mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -342,17 +440,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ).select("node", "n", "signature", "one.*").checkpoint()
     posted = postings(nodes).checkpoint()
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return confirmed(docs, nodes, matching(nodes, pairs), doc_id, text, shingle, percent)
-
-    near = links(first_pairs(posted, percent)).checkpoint()
-    known = components(near)
-    # a component is named by one of its nodes, so single nodes can be named by themselves
-    belongs = posted.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    pairs, dense = merged_pairs(belongs, percent)
-    dense = dense.join(nodes.select("node", "signature"), "node")
-    rest = links(pairs.unionByName(block_pairs(dense, percent)).distinct())
-    found = components(near.unionByName(rest))
+    drawn = matching(nodes, centre_pairs(posted, percent)).checkpoint()
+    stars = drawn.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    sets = full_sets(docs, nodes, drawn.select(F.explode(F.array("a", "b")).alias("node")), doc_id, text, shingle)
+    links = block_links(star_rows(stars, nodes), sets, percent).checkpoint()
+    belongs = components(drawn).withColumnRenamed("component", "family").join(components(links), "node", "left").join(
+        nodes.select("node", "n"), "node").withColumn("component", F.coalesce("component", "node")).checkpoint()
+    links = links.unionByName(block_links(family_rows(belongs), sets, percent))
+
+    # a family is named by one of its nodes, so single nodes can be named by themselves
+    pairs, dense = merged_pairs(posted.join(belongs.select("node", "family"), "node", "left").withColumn("component", F.coalesce("family", "node")), percent)
+    across = matching(nodes, pairs).select("a", "b").unionByName(block_pairs(dense.join(nodes.select("node", "signature"), "node"), percent)).distinct().checkpoint()
+    others = full_sets(docs, nodes, across.select(F.explode(F.array("a", "b")).alias("node")), doc_id, text, shingle)
+    found = components(links.unionByName(similar(across, others, percent)).checkpoint())
+
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     named = least.groupBy("component").agg(F.min("least").alias("component_id"))
