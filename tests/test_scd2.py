@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import scd2
+from varve.operators import ordered, scd2
 from varve.sources import changes
 
 # id, name, segment, city, valid_from, valid_to, is_current
@@ -41,10 +41,11 @@ def test_golden_batch_by_batch(spark):
     assert rows(folded(spark, log, changes.BATCHES)) == GOLDEN
 
 
-@pytest.mark.parametrize("chunk", [None, "batch_id", "0"])
-def test_golden_from_log(spark, chunk):
-    rule = F.expr(chunk) if chunk else None
-    assert rows(scd2.from_log(changes.feed(spark), chunk=rule)) == GOLDEN
+@pytest.mark.parametrize("sampled", [1, 3, 32])
+def test_golden_from_log(spark, monkeypatch, sampled):
+    """Chunks of one row, of a few and of all."""
+    monkeypatch.setattr(ordered, "SAMPLED", sampled)
+    assert rows(scd2.from_log(changes.feed(spark))) == GOLDEN
 
 
 def test_replaying_the_latest_batch_changes_nothing(spark):
@@ -113,7 +114,7 @@ def brute(log_rows):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_random_logs(spark, seed):
+def test_random_logs(spark, monkeypatch, seed):
     rng = random.Random(seed)
     log = []
     for batch in range(1, 7):
@@ -125,7 +126,8 @@ def test_random_logs(spark, seed):
     expected = brute(log)
     assert rows(folded(spark, frame, range(1, 7))) == expected
     assert rows(scd2.from_log(frame)) == expected
-    assert rows(scd2.from_log(frame, chunk=F.floor(F.col("batch_id") / 2))) == expected
+    monkeypatch.setattr(ordered, "SAMPLED", 2)
+    assert rows(scd2.from_log(frame)) == expected
 
 
 RUNS = scd2.Spec(sequence=("effective_date", "seq"), many_per_batch=True)
@@ -154,12 +156,8 @@ def test_every_order_is_a_change_of_the_dimension(spark, tiny):
     """A customer's orders of one period all make versions, in each form."""
     import __spark_entry__ as driver
 
-    kinds = {
-        n: driver.queries()[n](spark, tiny).count()
-        for n in ("scd2_snapshot_orders", "scd2_apply_batches_orders", "scd2_store_orders", "stream_scd2_orders")
-    }
-    assert len(set(kinds.values())) == 1
-    assert kinds["scd2_snapshot_orders"] > 2 * driver.queries()["scd2_snapshot"](spark, tiny).count()
+    names = ("scd2_snapshot", "scd2_apply_batches", "scd2_store", "stream_scd2")
+    assert len({driver.queries()[n](spark, tiny).count() for n in names}) == 1
 
 
 def test_as_of_and_log_lookup(spark):
@@ -185,7 +183,45 @@ def test_one_hot_key_is_spread_over_tasks(spark):
     dim = scd2.from_log(hot)
     assert dim.count() == 1500
     assert dim.where("is_current").count() == 1
-    from varve.operators import ordered
-
-    chunks = ordered.range_chunks(hot, ["customer_id"], ["batch_id"])
-    assert chunks.groupBy(ordered.CHUNK).count().agg(F.max("count")).first()[0] < 1500
+    chunks = ordered.split_chunks(hot, ["customer_id"], ["batch_id"])
+    sizes = dict(map(tuple, chunks.groupBy(ordered.CHUNK).count().collect()))
+    assert max(sizes.values()) < 1500
+    assert sorted(sizes) == list(range(len(sizes)))
+
+
+def test_no_window_over_a_key_alone(spark):
+    """Chunks of a key that holds most rows are small, and the plan has no window by key alone."""
+    log = spark.range(4000).select(
+        F.lit(1).alias("batch_id"), F.expr("date_add(DATE '2020-01-01', CAST(id AS INT))").alias("effective_date"),
+        F.when(F.col("id") % 5 == 0, "D").otherwise("U").alias("op"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1).alias("customer_id"),
+        F.lit("n").alias("name"), F.lit(None).cast("string").alias("segment"), (F.col("id") / 40).cast("int").cast("string").alias("city"),
+    )
+    dim = scd2.from_log(log)
+    plan = dim._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__chunk" in line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in windows)
+    expected = brute([tuple(r) for r in log.collect()])
+    assert sorted(map(str, rows(dim))) == sorted(map(str, expected))
+
+
+def test_as_of_join(spark):
+    """Facts meet the version of their day, also where nothing is valid and on a hot or NULL key."""
+    rng = random.Random(3)
+    first = dt.date(2020, 1, 1)
+    log = [(1, first + dt.timedelta(days=3 * k + 1), rng.choice("UUD"), rng.choice([1, 1, 1, 2, None]), rng.choice("xyz"), None, "c") for k in range(300)]
+    dim = scd2.from_log(spark.createDataFrame(log, changes.SCHEMA)).cache()
+    facts = [(k, rng.choice([1, 1, 1, 2, 9, None]), rng.choice([None, first + dt.timedelta(days=rng.randrange(-50, 1100))])) for k in range(500)]
+    frame = spark.createDataFrame(facts, "id INT, who BIGINT, day DATE")
+    versions = [r.asDict() for r in dim.collect()]
+    want = {}
+    for k, who, day in facts:
+        own = [v for v in versions if day and v["customer_id"] == who and v["valid_from"] <= day and (v["valid_to"] is None or day < v["valid_to"])]
+        assert len(own) < 2
+        want[k] = own[0] if own else None
+    for days in (1, 64, 5000):
+        joined = scd2.as_of_join(frame, dim, F.col("who"), F.col("day"), bucket_days=days)
+        assert {r.id: r.version.asDict() if r.version else None for r in joined.collect()} == want
+    assert scd2.as_of_join(frame.where("day IS NULL"), dim, F.col("who"), F.col("day")).where("version IS NULL").count() == sum(d is None for _, _, d in facts)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

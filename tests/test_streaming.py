@@ -66,7 +66,7 @@ def test_dimension_from_a_stream_of_change_files(spark, tmp_path):
     # a lost checkpoint delivers everything again; the log refuses it
     run(str(tmp_path / "fresh"))
     assert store.applied() == [1, 2, 3]
-    batch = scd2.from_log(changes.feed(spark), chunk=F.col("batch_id"))
+    batch = scd2.from_log(changes.feed(spark))
     assert difference(store.dimension(), batch).isEmpty()
 
 

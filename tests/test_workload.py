@@ -120,16 +120,6 @@ def test_store_survives_a_crash_between_log_and_apply(spark, tmp_path):
         store.apply_pending()
 
 
-def test_merge_needs_a_row_level_format(spark, built):
-    """Everything resolves; only the parquet format itself refuses MERGE."""
-    layout = built[0]
-    name = layout.name(layout.silver, "dimension")
-    dim = scd2.from_log(changes.feed(spark))
-    dim.write.saveAsTable(name)
-    with pytest.raises(Exception, match="MERGE"):
-        scd2.merge_changes(changes.batch_frame(spark, 3), name)
-
-
 def test_queries_run_and_match_their_sql(spark, built):
     layout = built[0]
     names = ["q01", "q06", "q13", "q17"]

@@ -1,12 +1,12 @@
 """Order-dependent calculations over groups too large for one task.
 
 A window partitioned by a key sends all rows of that key to one task. Here each group is
-cut into *chunks* that follow its order: windows run per (group, chunk), and a second window
-over one or two rows per chunk links the chunks. A key that holds a third of the table is
-then spread over many tasks.
+cut into *chunks* that follow its order: windows run per (group, chunk), and the chunks of a group
+are linked by a join on (group, chunk) with the chunk before or after. A key that holds a third of the
+table is then spread over many tasks.
 
-``CHUNK`` must not decrease along the order inside a group. Use a rule computed from the
-row (a minute, an integer part) when the data offers one, or ``range_chunks``. NULL keys
+``CHUNK`` must not decrease along the order inside a group. Use ``split_chunks``, a rule computed from
+the row (a minute, an integer part) when the data offers one, or ``range_chunks``. NULL keys
 form a group of their own, as in any window.
 """
 
@@ -25,6 +25,47 @@ def chunked(df: DataFrame, chunk: Column) -> DataFrame:
     return df.select("*", chunk.alias(CHUNK))
 
 
+#: Rows that the driver sees for each chunk to be made.
+SAMPLED = 32
+
+
+def split_chunks(
+    df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None
+) -> DataFrame:
+    """Chunks between split points of the (key, order) sequence, without a shuffle.
+
+    The splits are every SAMPLED-th row of a sample with a bound, so only keys with many rows have some. They
+    become literals of the plan: each row looks up the splits of its key and counts those not after it.
+    """
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()
+    share = min(1.0, SAMPLED * parts / max(1, total))
+    drawn = df.select(*keys, *order).sample(share, seed=7).orderBy(*keys, *order).select(
+        F.struct(*[F.col(k).cast("string") for k in keys]).alias("key"),
+        F.struct(*[F.col(c).cast("string") for c in order]).alias("place"),
+    )
+    splits: dict[tuple, list[tuple]] = {}
+    for row in drawn.limit(4 * SAMPLED * parts).collect()[SAMPLED - 1::SAMPLED]:
+        splits.setdefault(tuple(row.key), []).append(tuple(row.place))
+    # a chunk of each key is named by the texts of its columns, NULL apart from every text
+    name = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+    place = F.struct(*[F.col(c) for c in order])
+    kinds = [df.schema[c].dataType for c in order]
+
+    def literal(values: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(kind).alias(c) for v, kind, c in zip(values, kinds, order)])
+
+    chunk = F.lit(0)
+    if splits:
+        text = F.create_map(*[x for key, places in splits.items() for x in (
+            F.to_json(F.array(*[F.lit(v).cast("string") for v in key])),
+            F.array(*[literal(values) for values in dict.fromkeys(places)]),
+        )])
+        chunk = F.coalesce(F.size(F.filter(F.try_element_at(text, name), lambda split: split <= place)), F.lit(0))
+        chunk = F.when(chunk < 0, 0).otherwise(chunk)
+    return df.select("*", chunk.cast("int").alias(CHUNK))
+
+
 def range_chunks(
     df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None
 ) -> DataFrame:
@@ -96,25 +137,36 @@ def _neighbour(
 ) -> DataFrame:
     """Look next door inside the chunk; only chunk borders look across chunks.
 
-    Both parts read the same shuffled rows. The second part holds at most two rows per
-    chunk, in which the row next to a chunk's first row is the last of the chunk before.
+    A border row asks which chunk of its key comes next, from the list of those that hold rows, and takes the
+    value at that chunk's end by a join on (key, chunk). Both sides hold one row per key and chunk.
     """
     step = F.lead if forward else F.lag
     around = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    # the wrapped value is a column of both parts, so that they share one exchange
+    # the wrapped value is a column of all parts, so that they share one exchange
     rows = df.withColumn("__value", F.struct(F.col(value).alias("value"))).select(
         "*", step("__value").over(around).alias(name),
         F.lag(F.lit(True)).over(around).isNull().alias("__first"),
         F.lead(F.lit(True)).over(around).isNull().alias("__last"),
     )
-    border = F.col("__last" if forward else "__first")
-    across = Window.partitionBy(*keys).orderBy(CHUNK, *order)
-    borders = (
-        rows.where(F.col("__first") | F.col("__last"))
-        .withColumn(name, step("__value").over(across))
-        .where(border)
+    border, end = ("__last", "__first") if forward else ("__first", "__last")
+    def same(prefix: str) -> Column:
+        test = F.lit(True)
+        for k in keys:
+            test = test & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+        return test
+
+    ends = rows.where(F.col(end)).select(
+        *[F.col(k).alias(f"__end_{k}") for k in keys], F.col(CHUNK).alias("__end"), F.col("__value").alias("__other"),
+    )
+    held = ends.groupBy(*[F.col(f"__end_{k}").alias(f"__held_{k}") for k in keys]).agg(
+        F.array_sort(F.collect_set("__end")).alias("__held")
     )
-    return rows.where(~border).unionByName(borders).drop("__first", "__last", "__value")
+    asked = F.get("__held", F.array_position("__held", F.col(CHUNK)).cast("int") - F.lit(0 if forward else 2))
+    linked = rows.where(F.col(border)).drop(name).join(held, same("__held_")).withColumn("__asked", asked).join(
+        ends, same("__end_") & (F.col("__asked") == F.col("__end")), "left"
+    ).withColumnRenamed("__other", name)
+    both = rows.where(~F.col(border)).unionByName(linked.select(*rows.columns))
+    return both.drop("__first", "__last", "__value")
 
 
 def median(df: DataFrame, keys: list[str], value: str, chunk: Column, name: str) -> DataFrame:

@@ -163,55 +163,12 @@ def _apply_runs(dimension: DataFrame, changes: DataFrame, spec: Spec) -> DataFra
     return closed.unionByName(kept).unionByName(runs.select(*spec.columns))
 
 
-def merge_changes(changes: DataFrame, target: str, spec: Spec = CUSTOMER) -> None:
-    """The same batch as one MERGE into a table, for formats that support row updates.
-
-    A change that opens a version appears a second time without a key, so that it is
-    inserted while its keyed twin closes the version it replaces. Parquet tables refuse
-    MERGE; use ``apply_changes`` or the dimension store there.
-    """
-    spark = changes.sparkSession
-    columns = [*spec.keys, *spec.tracked, spec.effective, spec.op, "record_hash"]
-    batch = _one_change_per_key(changes, spec).select(
-        *[F.col(c).alias(f"new_{c}") for c in columns]
-    )
-    current = spark.table(target).where("is_current")
-    match = [F.col(f"new_{k}") == F.col(k) for k in spec.keys]
-    replaced = (F.col(f"new_{spec.op}") == "U") & (F.col("new_record_hash") != F.col("record_hash"))
-    twins = batch.join(current, match).where(replaced).select(*batch.columns)
-    keyed = batch.select("*", *[F.col(f"new_{k}").alias(f"merge_{k}") for k in spec.keys])
-    unkeyed = twins.select("*", *[
-        F.lit(None).cast(changes.schema[k].dataType).alias(f"merge_{k}") for k in spec.keys
-    ])
-    matched = F.col("is_current")
-    for k in spec.keys:
-        matched = matched & (F.col(k) == F.col(f"merge_{k}"))
-    (
-        keyed.unionByName(unkeyed)
-        .mergeInto(target, matched)
-        .whenMatched(
-            (F.col(f"new_{spec.op}") == "D") | (F.col("record_hash") != F.col("new_record_hash"))
-        )
-        .update({"is_current": F.lit(False), "valid_to": F.col(f"new_{spec.effective}")})
-        .whenNotMatched(F.col(f"new_{spec.op}") == "U")
-        .insert({
-            **{c: F.col(f"new_{c}") for c in (*spec.keys, *spec.tracked)},
-            "valid_from": F.col(f"new_{spec.effective}"),
-            "valid_to": F.lit(None).cast("date"),
-            "is_current": F.lit(True),
-            "record_hash": F.col("new_record_hash"),
-        })
-        .merge()
-    )
-
-
-def from_log(log: DataFrame, spec: Spec = CUSTOMER, chunk: Column | None = None) -> DataFrame:
+def from_log(log: DataFrame, spec: Spec = CUSTOMER) -> DataFrame:
     """The dimension after every batch of the log, in one pass over it.
 
     A row opens a version when its state differs from the state before it, and the next
-    such row closes that version. ``chunk`` is a rule over the sequence columns that never
-    decreases along them (a minute of the event time, say); without it the log is cut into
-    equal sorted ranges. Either way one very active key is spread over many tasks.
+    such row closes that version. The log is cut into chunks along (key, sequence), and
+    chunks of a key are linked by joins, so one very active key is spread over many tasks.
     """
     order = list(spec.sequence)
     state = F.when(F.col(spec.op) == "U", F.struct(*spec.tracked))
@@ -220,9 +177,7 @@ def from_log(log: DataFrame, spec: Spec = CUSTOMER, chunk: Column | None = None)
         *spec.keys, *dict.fromkeys([*order, spec.effective]), state.alias("__state")
     )
     keys = list(spec.keys)
-    chunks = (
-        ordered.range_chunks(rows, keys, order) if chunk is None else ordered.chunked(rows, chunk)
-    )
+    chunks = ordered.split_chunks(rows, keys, order)
     before = ordered.previous(chunks, keys, order, "__state", "__prev")
     changed = before.where(~F.col("__state").eqNullSafe(F.col("__prev.value"))).drop("__prev")
     until = ordered.following(changed, keys, order, spec.effective, "__next")
@@ -253,6 +208,40 @@ def as_of(dimension: DataFrame, date: str | Column) -> DataFrame:
     )
 
 
+def as_of_join(
+    facts: DataFrame, dimension: DataFrame, key: Column, day: Column, spec: Spec = CUSTOMER,
+    bucket_days: int = 64,
+) -> DataFrame:
+    """Every fact with the version of its key that was valid on its day, or NULLs without one.
+
+    Adds a column ``version``, a struct of the dimension's columns. Versions are valid over
+    day ranges; a version is posted under each bucket of ``bucket_days`` that it reaches into
+    between its first day and the last day any fact has, so the join is an equality on (key, bucket) and
+    the day test runs on the few versions of one bucket. A hot key falls into as many
+    groups as it has buckets, and adaptive execution splits those further.
+
+    A fact with a NULL day has no version; a NULL key is a key like any other. ``spec`` names one business key.
+    """
+    (name,) = spec.keys
+    asked = facts.select("*", key.alias("__key"), day.cast("date").alias("__day"))
+    bounds = asked.agg(F.min("__day").alias("low"), F.max("__day").alias("high")).first()
+    if bounds.low is None:
+        return asked.select(*facts.columns, F.lit(None).cast(dimension.select(F.struct(*dimension.columns)).schema[0].dataType).alias("version"))
+    bucket = lambda c: F.floor(F.unix_date(c) / bucket_days).cast("int")
+    first = F.greatest(F.col("valid_from"), F.lit(bounds.low))
+    last = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(bounds.high)), F.lit(bounds.high))
+    posted = dimension.where((first <= last) & ((F.col("valid_to") > F.col("valid_from")) | F.col("valid_to").isNull())).select(
+        F.struct(*dimension.columns).alias("version"), F.explode(F.sequence(bucket(first), bucket(last))).alias("__in")
+    )
+    held = (
+        F.col("version.valid_from") <= F.col("__day")
+    ) & (F.col("version.valid_to").isNull() | (F.col("version.valid_to") > F.col("__day")))
+    met = asked.withColumn("__at", bucket(F.col("__day"))).join(
+        posted, F.col("__key").eqNullSafe(F.col(f"version.{name}")) & (F.col("__at") == F.col("__in")) & held, "left"
+    )
+    return met.select(*facts.columns, "version")
+
+
 def log_contains(log: DataFrame, batch_ids: DataFrame, spec: Spec = CUSTOMER) -> DataFrame:
     """For each asked batch id, whether the log already holds it."""
     known = log.select(F.col(spec.batch).alias("__known")).distinct()

@@ -18,7 +18,7 @@ from varve.streaming import ingest
 
 # --- change logs over the given tables --------------------------------------------------
 
-# One change per customer and batch: the customer's last order in three periods.
+# Every order is a change; three periods are the batches.
 _ORDER_BATCH = (
     "CASE WHEN o_orderdate < DATE '1998-01-01' THEN 1 "
     "WHEN o_orderdate < DATE '2000-01-01' THEN 2 ELSE 3 END"
@@ -38,14 +38,6 @@ _ORDER_CHANGE = {
 }
 
 
-def _order_log(spark, sf_dir) -> DataFrame:
-    orders = standin.load(spark, sf_dir).orders
-    last = orders.groupBy("o_custkey", F.expr(_ORDER_BATCH).alias("batch_id")).agg(
-        F.max(F.struct("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus")).alias("o")
-    )
-    return standin.derived(last.select("o_custkey", "batch_id", "o.*"), _ORDER_CHANGE)
-
-
 def _order_feed(spark, sf_dir) -> DataFrame:
     """Every order as a change, also several of a customer in one period."""
     orders = standin.load(spark, sf_dir).orders.withColumn("batch_id", F.expr(_ORDER_BATCH))
@@ -58,17 +50,6 @@ _ORDER_FEED_SQL = (
             FROM (SELECT *, {_ORDER_BATCH} AS batch_id FROM v_orders))"""
 )
 
-# The batch form takes one change per customer and batch.
-_ORDER_LOG_SQL = (
-    "WITH " + standin.oracle_cte("orders") + f""",
-    ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY o_custkey, batch_id
-                                   ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-      FROM (SELECT *, {_ORDER_BATCH} AS batch_id FROM v_orders)),
-    log AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _ORDER_CHANGE.items())}, 0 AS seq
-            FROM ranked WHERE rn = 1)"""
-)
-
 # Every order is a change of its own day; a batch holds as many of a customer as there are.
 _ORDER_STEP = {**_ORDER_CHANGE, "effective_date": "o_orderdate", "seq": "o_orderkey"}
 _STEP_SPEC = scd2.Spec(sequence=("effective_date", "seq"), many_per_batch=True)
@@ -102,9 +83,7 @@ _EVENT_SPEC = scd2.Spec(sequence=("ts", "seq"))
 
 def _event_dimension(spark, sf_dir) -> DataFrame:
     log = standin.derived(standin.parquet(spark, sf_dir, "events"), _EVENT_CHANGE)
-    # Minutes follow the event order, so the busiest user is spread over as many tasks. As
-    # text they do not depend on the session's time zone and its clock changes.
-    return scd2.from_log(log, _EVENT_SPEC, chunk=F.substring(F.col("ts").cast("string"), 1, 16))
+    return scd2.from_log(log, _EVENT_SPEC)
 
 
 _EVENT_LOG_SQL = (
@@ -122,17 +101,11 @@ _VERSIONS_SQL = """,
                    sha256(concat_ws('||', name, segment, city)) AS record_hash
             FROM c WHERE state IS NOT NULL)
 """
-_ORDER_DIM_SQL = _ORDER_LOG_SQL + _VERSIONS_SQL.format(order="effective_date, batch_id")
 _STEP_DIM_SQL = _ORDER_STEP_SQL + _VERSIONS_SQL.format(order="effective_date, seq")
 _EVENT_DIM_SQL = _EVENT_LOG_SQL + _VERSIONS_SQL.format(order="ts, seq")
 
 
 def _folded(spark, sf_dir):
-    log = _order_log(spark, sf_dir)
-    return scd2.fold(scd2.empty(spark, log), log, [1, 2, 3])
-
-
-def _folded_steps(spark, sf_dir):
     log = _order_steps(spark, sf_dir)
     return scd2.fold(scd2.empty(spark, log, _STEP_SPEC), log, [1, 2, 3], _STEP_SPEC)
 
@@ -144,7 +117,7 @@ def _lookup(spark, sf_dir):
 
 register("change_feed_rows", _order_feed,
          _ORDER_FEED_SQL + f" SELECT {', '.join(_ORDER_CHANGE)} FROM log")
-register("change_log_contains", _lookup, _ORDER_LOG_SQL + """
+register("change_log_contains", _lookup, _ORDER_FEED_SQL + """
     SELECT n_nationkey AS batch_id, n_nationkey IN (SELECT batch_id FROM log) AS loaded
     FROM nation""")
 register(
@@ -156,26 +129,15 @@ register(
     SELECT batch_id, customer_id, sha256(concat_ws('||', name, segment, city)) AS record_hash
     FROM log""",
 )
-register("scd2_apply_batches", _folded, _ORDER_DIM_SQL + "SELECT * FROM dim")
+register("scd2_apply_batches", _folded, _STEP_DIM_SQL + "SELECT * FROM dim")
 register("scd2_from_log", _event_dimension, _EVENT_DIM_SQL + "SELECT * FROM dim")
-register("scd2_apply_batches_orders", _folded_steps, _STEP_DIM_SQL + "SELECT * FROM dim")
 register(
-    "scd2_snapshot_orders",
+    "scd2_snapshot",
     lambda spark, sf_dir: scd2.snapshot(scd2.from_log(_order_steps(spark, sf_dir), _STEP_SPEC)),
     _STEP_DIM_SQL + """
     SELECT customer_id, name, segment, city, CAST(valid_from AS VARCHAR) AS valid_from,
            CAST(valid_to AS VARCHAR) AS valid_to, is_current FROM dim""",
 )
-register(
-    "scd2_snapshot",
-    # three batches per customer: a plain chunk per batch needs no range shuffle
-    lambda spark, sf_dir: scd2.snapshot(
-        scd2.from_log(_order_log(spark, sf_dir), chunk=F.col("batch_id"))
-    ),
-    _ORDER_DIM_SQL + """
-    SELECT customer_id, name, segment, city, CAST(valid_from AS VARCHAR) AS valid_from,
-           CAST(valid_to AS VARCHAR) AS valid_to, is_current FROM dim""",
-)
 register(
     "scd2_as_of",
     lambda spark, sf_dir: scd2.as_of(_event_dimension(spark, sf_dir), "2024-01-15"),
@@ -183,6 +145,22 @@ register(
                         AND (valid_to IS NULL OR valid_to > DATE '2024-01-15')""",
 )
 
+
+
+def _events_as_of(spark, sf_dir) -> DataFrame:
+    """Every event with its user's version of the day before."""
+    events = standin.parquet(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    joined = scd2.as_of_join(
+        events, _event_dimension(spark, sf_dir), F.col("user_id"), F.date_sub(F.col("ts").cast("date"), 1), _EVENT_SPEC
+    )
+    return joined.select("event_id", "user_id", *[F.col(f"version.{c}").alias(c) for c in ("segment", "city", "valid_from", "valid_to")])
+
+
+register("scd2_as_of_join", _events_as_of, _EVENT_DIM_SQL + """
+    SELECT event_id, user_id, segment, city, valid_from, valid_to
+    FROM events LEFT JOIN dim ON customer_id = user_id AND valid_from <= CAST(ts AS DATE) - 1
+        AND (valid_to IS NULL OR valid_to > CAST(ts AS DATE) - 1)""")
+
 # --- policy -----------------------------------------------------------------------------
 
 _EMAIL = """
@@ -520,39 +498,32 @@ def _stream_bronze(spark, sf_dir):
 _STEP_SCHEMA = f"{changes.SCHEMA}, seq BIGINT"
 
 
-def _order_store(spark, base: str, name: str, steps: bool = False) -> DimensionStore:
-    if steps:
-        return DimensionStore(spark, f"{base}/{name}", _STEP_SCHEMA, _STEP_SPEC)
-    return DimensionStore(spark, f"{base}/{name}", changes.SCHEMA)
+def _order_store(spark, base: str, name: str) -> DimensionStore:
+    return DimensionStore(spark, f"{base}/{name}", _STEP_SCHEMA, _STEP_SPEC)
 
 
-def _store_dimension(spark, sf_dir, steps: bool = False):
+def _store_dimension(spark, sf_dir):
     """The order log ingested batch by batch and applied from the stored log."""
-    store = _order_store(spark, _scratch(spark), "dimension", steps)
-    log = (_order_steps if steps else _order_log)(spark, sf_dir)
+    store = _order_store(spark, _scratch(spark), "dimension")
+    log = _order_steps(spark, sf_dir)
     for batch_id in (1, 2, 3):
         store.ingest(batch_id, log.where(F.col("batch_id") == batch_id))
         store.apply_pending()
     return store.dimension()
 
 
-def _stream_dimension(spark, sf_dir, steps: bool = False):
+def _stream_dimension(spark, sf_dir):
     """The order log as change files that a stream folds into the dimension."""
     base = _scratch(spark)
-    log = (_order_steps if steps else _order_log)(spark, sf_dir)
-    log.repartition(6).write.parquet(f"{base}/feed")
-    store = _order_store(spark, base, "dimension", steps)
+    _order_steps(spark, sf_dir).repartition(6).write.parquet(f"{base}/feed")
+    store = _order_store(spark, base, "dimension")
     stream = ingest.read_files(spark, f"{base}/feed", store.changes_schema, max_files=2)
     ingest.to_dimension(stream, store, f"{base}/progress")
     return store.dimension()
 
 
-register("scd2_store", _store_dimension, _ORDER_DIM_SQL + "SELECT * FROM dim")
-register("stream_scd2", _stream_dimension, _ORDER_DIM_SQL + "SELECT * FROM dim")
-register("scd2_store_orders", lambda spark, sf_dir: _store_dimension(spark, sf_dir, steps=True),
-         _STEP_DIM_SQL + "SELECT * FROM dim")
-register("stream_scd2_orders", lambda spark, sf_dir: _stream_dimension(spark, sf_dir, steps=True),
-         _STEP_DIM_SQL + "SELECT * FROM dim")
+register("scd2_store", _store_dimension, _STEP_DIM_SQL + "SELECT * FROM dim")
+register("stream_scd2", _stream_dimension, _STEP_DIM_SQL + "SELECT * FROM dim")
 
 register("stream_bronze", _stream_bronze, """
     SELECT event_id, user_id, event_type, value, 'stream-1' AS _batch_id,

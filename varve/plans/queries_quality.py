@@ -247,7 +247,7 @@ def _line_bounds(tables) -> dict:
 def _row_counts(spark, sf_dir):
     tables = standin.load(spark, sf_dir)
     counts = layers.row_counts(dict(tables.items()))
-    return quality.count_report(counts, _scaled_expectations(tables))
+    return quality.count_report(counts, _scaled_expectations(tables), _line_bounds(tables))
 
 
 _EXPECTED_CASE = (
@@ -268,24 +268,10 @@ register(
     wanted AS (
       SELECT table_name, rows, CAST({_EXPECTED_CASE} AS BIGINT) AS expected_rows
       FROM counts, (SELECT CAST(count(*) / 10000.0 AS DECIMAL(20,6)) AS sf FROM supplier))
-    SELECT *, CASE WHEN expected_rows IS NULL THEN 'SKIP' WHEN rows = expected_rows THEN 'PASS'
-              ELSE 'FAIL' END AS status FROM wanted""",
-)
-
-
-def _line_counts(spark, sf_dir):
-    """The lines against the orders alone, whatever count is published."""
-    tables = standin.load(spark, sf_dir)
-    counts = layers.row_counts({"lineitem": tables.lineitem})
-    return quality.count_report(counts, {}, _line_bounds(tables)).drop("expected_rows")
-
-
-register(
-    "quality_line_bounds",
-    _line_counts,
-    """SELECT 'lineitem' AS table_name, count(*) AS rows,
-              CASE WHEN count(*) BETWEEN (SELECT count(*) FROM orders) AND 7 * (SELECT count(*) FROM orders)
-              THEN 'PASS' ELSE 'FAIL' END AS status FROM lineitem""",
+    SELECT *, CASE WHEN rows = expected_rows THEN 'PASS' WHEN expected_rows IS NOT NULL THEN 'FAIL'
+              WHEN table_name <> 'lineitem' THEN 'SKIP'
+              WHEN rows BETWEEN (SELECT count(*) FROM orders) AND 7 * (SELECT count(*) FROM orders)
+              THEN 'PASS' ELSE 'FAIL' END AS status FROM wanted""",
 )
 
 

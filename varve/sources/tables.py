@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,10 +144,11 @@ def result_rows(df: DataFrame, query: str) -> DataFrame:
         "cells", F.shiftright("place", 33).alias("part"),
         F.col("place").bitwiseAND((1 << 33) - 1).alias("number"),
     )
-    # one row per partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("part").count().select(
-        "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
+    # one number per partition comes to the driver, as many as the result has tasks
+    counts = sorted((r.part, r["count"]) for r in rows.groupBy("part").count().collect())
+    ends = accumulate(count for _, count in counts)
+    starts = df.sparkSession.createDataFrame(
+        [(part, end - count) for (part, count), end in zip(counts, ends)], "part BIGINT, start BIGINT"
     )
     numbered = rows.join(starts, "part").select((F.col("start") + F.col("number")).alias("ordinal"), "cells")
     return numbered.select(
