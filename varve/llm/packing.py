@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.llm.chunk_cache import ENTRIES, ChunkCache
 from varve.llm.common import ensure_checkpoints, id_and_bytes, partitions, slices
 
 SIZE = 2048
-TABLE_ENTRIES = 400_000
 
 #: The pre-tokenizer never joins a space to what stands before it, unless that is white space.
 AFTER_BLANK = re.compile(r"\s ")
@@ -97,7 +97,7 @@ class Encoder:
 
 def tokenize(
     docs: DataFrame, tokenizer_file: str, size: int = SIZE, end_id: int = 0, doc_id: str = "doc_id",
-    text: str = "text", entries: int = TABLE_ENTRIES, keep_ids: bool = True,
+    text: str = "text", entries: int = ENTRIES, keep_ids: bool = True,
 ) -> DataFrame:
     """Pieces of the documents' ids, each document ended by ``end_id``.
 
@@ -110,20 +110,15 @@ def tokenize(
 
     def run(batches):
         encoder = Encoder(tokenizer_file)
-        table: dict[str, bytes] = {}  # little-endian ids of each distinct chunk
+        cache = ChunkCache(encoder.encode, entries)  # little-endian ids of each distinct chunk
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 parts = [chunks(part.text(k).decode("utf-8", "replace")) for k in range(len(part))]
-                wanted = set().union(*parts)
-                new = wanted - table.keys()
-                if len(table) + len(new) > entries:
-                    table.clear()
-                    new = wanted
-                table.update(encoder.encode(list(new)))
+                ids_of = cache.known(set().union(*parts)).__getitem__
                 rows: dict[str, list] = {name.split()[0]: [] for name in schema.split(", ")}
                 for key, chunk in zip(part.ids, parts):
-                    ids = b"".join(map(table.__getitem__, chunk)) + end
+                    ids = b"".join(map(ids_of, chunk)) + end
                     count = len(ids) // 4
                     first = (count - 1) % size + 1
                     for piece, stop in enumerate(range(first, count + 1, size)):

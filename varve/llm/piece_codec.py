@@ -8,10 +8,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from varve.llm.chunk_cache import ENTRIES, ChunkCache
 from varve.llm.common import id_and_bytes, slices
 
-TABLE_ENTRIES = 400_000
-
 #: Pieces never hold a marker after another character, so a chunk ends before a space that
 #: follows neither a space nor a marker.
 BORDER = re.compile(r"(?<=[^ ▁]) ")
@@ -28,42 +27,50 @@ def chunks(text: str) -> list[str]:
     return parts
 
 
+#: Chunks of printable ASCII, but for angle brackets and bars, and of Latin letters.
+PLAIN = re.compile(r"[!-;=?-{}~\u00A1-\u024F]+")
+
+
 class ChunkTable:
-    """Number of ids, ids as text, ids and decoded text of each distinct chunk seen so far.
+    """Ids as text of each distinct chunk, and its decoded text where that is another than the chunk.
 
-    Each distinct chunk is segmented once while it stays in the table; the table starts anew when
-    it is full, which bounds memory.
-    """
+    Each distinct chunk is segmented once while the cache knows it. Plain chunks decode to themselves if every character of
+    theirs does, for pieces are joined as they are; that is asked of the model once. The others are decoded."""
 
     def __init__(self, model_file: str, entries: int):
         import sentencepiece
 
         self.codec = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.entries = entries
-        self.clear()
-
-    def clear(self) -> None:
-        self.count: dict[str, int] = {}
-        self.shown: dict[str, str] = {}
-        self.plain: dict[str, str] = {}
-
-    def learn(self, wanted: set[str]) -> None:
-        new = wanted - self.count.keys()
-        if new and len(self.count) + len(new) > self.entries:
-            self.clear()
-            new = wanted
-        if not new:
-            return
-        new = list(new)
-        ids = self.codec.encode(new, num_threads=1)
-        self.count.update(zip(new, map(len, ids)))
-        self.shown.update((c, ",".join(map(str, i))) for c, i in zip(new, ids))
-        self.plain.update(zip(new, self.codec.decode(ids, num_threads=1)))
+        self.names = [str(i) for i in range(self.codec.get_piece_size())]
+        self.cache = ChunkCache(self.learn, entries)
+        self.odd: dict[str, str] = {}
+        single = [c for c in map(chr, range(33, 0x250)) if PLAIN.fullmatch(c)]
+        self.faithful = self.codec.decode(self.codec.encode(single, num_threads=1), num_threads=1) == single
+
+    def learn(self, new: list[str]):
+        found = self.codec.encode(new, num_threads=1)
+        rest = [k for k, chunk in enumerate(new) if not (self.faithful and PLAIN.fullmatch(chunk))]
+        for k, plain in zip(rest, self.codec.decode([found[k] for k in rest], num_threads=1) if rest else ()):
+            if plain != new[k]:
+                self.odd[new[k]] = plain
+        names = self.names
+        return zip(new, [",".join([names[i] for i in ids]) for ids in found])
+
+    def known(self, wanted: set[str]) -> dict[str, str]:
+        table = self.cache.known(wanted)
+        if len(self.odd) > self.cache.entries:
+            self.odd = {chunk: plain for chunk, plain in self.odd.items() if self.cache.holds(chunk)}
+        return table
+
+    def decoded(self, text: str, parts: list[str]) -> str:
+        """The text that the chunks decode to; the text itself where they decode to themselves."""
+        odd = self.odd
+        return text if odd.keys().isdisjoint(parts) else " ".join([odd.get(part, part) for part in parts])
 
 
 def encode_decode(
     docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text",
-    entries: int = TABLE_ENTRIES, keep: bool = True,
+    entries: int = ENTRIES, keep: bool = True,
 ) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep`` ids and decoded.
 
@@ -79,25 +86,26 @@ def encode_decode(
         table = ChunkTable(model_file, entries)
         for batch in batches:
             for piece in slices(batch):
-                parts = [chunks(piece.text(k).decode("utf-8", "replace")) for k in range(len(piece))]
-                table.learn(set().union(*parts) if parts else set())
-                counts, digests, backs, ids, texts = [], [], [], [], []
-                for chunk in parts:
-                    counts.append(sum(map(table.count.__getitem__, chunk)))
-                    shown = ",".join(map(table.shown.__getitem__, chunk)) if chunk != [""] else ""
-                    plain = " ".join(map(table.plain.__getitem__, chunk))
+                texts = [piece.text(k).decode("utf-8", "replace") for k in range(len(piece))]
+                parts = [chunks(text) for text in texts]
+                shown_of = table.known(set().union(*parts)).__getitem__
+                counts, digests, backs, ids, plains = [], [], [], [], []
+                for text, part in zip(texts, parts):
+                    shown = ",".join(map(shown_of, part)) if text else ""
+                    plain = table.decoded(text, part)
+                    counts.append(shown.count(",") + 1 if shown else 0)
                     digests.append(hashlib.sha256(shown.encode()).hexdigest())
                     backs.append(hashlib.sha256(plain.encode()).hexdigest())
                     if keep:
                         ids.append([int(i) for i in shown.split(",")] if shown else [])
-                        texts.append(plain)
+                        plains.append(plain)
                 columns = {
                     "doc_id": pa.array(piece.ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()),
                     "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(backs, pa.string()),
                 }
                 if keep:
                     columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
-                    columns["decoded"] = pa.array(texts, pa.string())
+                    columns["decoded"] = pa.array(plains, pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     return id_and_bytes(docs, doc_id, text).mapInArrow(run, schema)
