@@ -22,7 +22,7 @@ class ChunkCache:
     def known(self, wanted: set[str]) -> dict[str, object]:
         """A table that holds all of ``wanted``."""
         missing = wanted.difference(self.now)  # by look-up; a view of the keys would be walked as a whole
-        if len(self.now) + len(missing) > self.entries:
+        if missing and len(self.now) + len(missing) > self.entries:
             self.before, self.now = self.now, {}
             missing = set(wanted)
         if self.before:
