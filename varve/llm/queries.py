@@ -87,16 +87,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 OP5_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+    SELECT q.row AS query_row, q.vec_id AS query_id, c.vec_id, c.row, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.row <> c.row
     WHERE q.vec_id % 20 = 0
 ), ranked AS (
-    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row) AS INTEGER) AS rank
     FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
