@@ -29,15 +29,16 @@ NO_ID = (1 << 63) - 1
 
 def deal(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SLICE, carry: tuple[str, ...] = (),
+    parts: int | None = None,
 ) -> tuple[DataFrame, int]:
     """s, doc_id, data: whole texts with the number of their slice; and carried, a struct of the
     columns named in ``carry``, if any. Also returns how many key buckets to use.
 
     Slices hold about ``size`` bytes, less where there would be fewer than partitions, but not under
-    ``LEAST``; so packed rows, one for each slice and bucket, stay far fewer than keys."""
+    ``LEAST``; ``parts`` stands for the session's number of partitions if it is given. So packed rows, one for each slice and bucket, stay far fewer than keys."""
     rows = id_and_bytes(docs, doc_id, text, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    parts, fill = partitions(docs.sparkSession), total // LEAST + 1
+    parts, fill = parts or partitions(docs.sparkSession), total // LEAST + 1
     count = max(total // size + 1, min(parts, fill))
     dealt = rows.withColumn("s", F.pmod(F.xxhash64("doc_id", "data"), F.lit(count)).cast("int"))
     return dealt, min(BUCKETS * parts, fill)
