@@ -17,12 +17,21 @@ from varve.llm.common import ensure_checkpoints
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    held = {c.lower() for c in docs.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Rows that repeat another share its verdict."""
     key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))
     verdicts = divergence.quality(docs.select(key.alias("doc_id"), "text", "lang"))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("verdict_key")).distinct()
-    return docs.withColumn("verdict_key", key).join(kept, "verdict_key", "left_semi").select(*docs.columns)
+    name = unused(docs, "verdict_key")
+    kept = verdicts.where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(kept, name, "left_semi").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +46,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_join.similar(docs).groupBy("component_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
     )
-    stays = found.select(F.col("first.doc_id").alias("stay_id"), F.col("first.text_key").alias("stay_key"))
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_key") == F.col("stay_key"))
-    return keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    name, stay_id, stay_key = (unused(docs, c) for c in ("text_key", "stay_id", "stay_key"))
+    stays = found.select(F.col("first.doc_id").alias(stay_id), F.col("first.text_key").alias(stay_key))
+    keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col(stay_id)) & (F.col(name) == F.col(stay_key))
+    return keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", name]).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,22 @@ def test_entry(spark):
     assert df.count() > 100
 
 
+def test_entry_without_the_optional_package(tmp_path):
+    """The entry imports from a tree that lacks the package and its tests."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(driver.__file__))
+    shutil.copytree(root, tmp_path / "tree", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    run = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"],
+        cwd=tmp_path / "tree", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True,
+    )
+    assert run.stdout.split() == [str(len(registry.QUERIES)), "False"], run.stderr
+
+
 def test_every_oracle_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert set(registry.QUERIES) <= set(driver.oracle_sql())
