@@ -20,6 +20,18 @@ def test_stages_on_awkward_rows(spark, tiny):
     assert left.where("n_chars <> char_length(text)").count() == 0
 
 
+def test_clashing_names_and_empty_tables(spark, tiny):
+    """Columns that stages use for themselves come through as they were, and an empty table gives an empty one."""
+    docs = cases.frame(spark).select("doc_id", "text", "lang", "source", "n_chars").selectExpr(
+        "*", "'v' AS verdict_key", "'t' AS text_key", "'i' AS stay_id", "'k' AS stay_key")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_duplicates):
+        out = stage(spark, docs, tiny)
+        assert out.dtypes == docs.dtypes
+        assert {tuple(r) for r in out.select("verdict_key", "text_key", "stay_id", "stay_key").distinct().collect()} == {("v", "t", "i", "k")}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), tiny).count() == 0
+
+
 def stays(rows):
     """One row of each component by the plain version, with repeated rows once."""
     sets = [cases.shingles(t) for _, t in rows]
