@@ -167,8 +167,8 @@ def from_log(log: DataFrame, spec: Spec = CUSTOMER) -> DataFrame:
     """The dimension after every batch of the log, in one pass over it.
 
     A row opens a version when its state differs from the state before it, and the next
-    such row closes that version. The log is cut into chunks along (key, sequence), and
-    chunks of a key are linked by joins, so one very active key is spread over many tasks.
+    such row closes that version. The log is cut into about as many chunks as partitions along (key, sequence), and
+    at most two rows of each link it to the next, so one very active key is spread over many tasks.
     """
     order = list(spec.sequence)
     state = F.when(F.col(spec.op) == "U", F.struct(*spec.tracked))

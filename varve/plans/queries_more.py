@@ -158,7 +158,7 @@ def _events_as_of(spark, sf_dir) -> DataFrame:
 
 register("scd2_as_of_join", _events_as_of, _EVENT_DIM_SQL + """
     SELECT event_id, user_id, segment, city, valid_from, valid_to
-    FROM events LEFT JOIN dim ON customer_id = user_id AND valid_from <= CAST(ts AS DATE) - 1
+    FROM events LEFT JOIN dim ON customer_id IS NOT DISTINCT FROM user_id AND valid_from <= CAST(ts AS DATE) - 1
         AND (valid_to IS NULL OR valid_to > CAST(ts AS DATE) - 1)""")
 
 # --- policy -----------------------------------------------------------------------------
