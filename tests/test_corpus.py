@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import re
 
 import pytest
@@ -73,6 +74,28 @@ def test_every_rule_hits_its_sample_like_python_does(spark):
     assert {(f"f{i}.scala", k) for i, k in enumerate(SAMPLES)} <= got
 
 
+def test_factors_lose_no_hit(spark):
+    """Letters that fold to ASCII ones, odd line breaks, and rules whose literals are unknown."""
+    odd = ["\u017felect \u017fecret  ('a')", "ALTER TABLE t SET ROW F\u0130LTER f", "ma\u017f\u212a x", "a\x0bimport dlt\x1c%sql"]
+    files = spark.createDataFrame([(f"f{i}.scala", t) for i, t in enumerate(odd)], "file STRING, text STRING")
+    bare = [dataclasses.replace(r, factors=()) for r in corpus.RULES]
+    hits = [{tuple(r) for r in corpus.findings(files, rules, python=False).collect()} for rules in (corpus.RULES, bare)]
+    assert hits[0] == hits[1]
+    assert {(r[0], r[2]) for r in hits[0]} >= {("f0.scala", "secret_fn"), ("f3.scala", "dlt"), ("f3.scala", "notebook_magic")}
+    assert corpus.findings(files.where("false")).count() == 0
+    empty = spark.createDataFrame([("a.py", None), ("b.sql", "")], "file STRING, text STRING")
+    assert corpus.findings(empty).count() == 0
+
+
+def test_a_file_may_stand_in_several_categories(spark):
+    files = spark.createDataFrame([("r/a/x.py", 3), ("r/a/__init__.py", 1), ("r/b/y.sql", 5)], "file STRING, loc INT")
+    placed = corpus.classified(files, "r", {"shared": {"t": ["a/*.py"], "o": ["?/*.*"]}, "own": {"t": ["b/*.sql"]}})
+    assert {tuple(r) for r in placed.collect()} == {
+        ("r/a/x.py", 3, "shared", "t"), ("r/a/x.py", 3, "shared", "o"),
+        ("r/b/y.sql", 5, "shared", "o"), ("r/b/y.sql", 5, "own", "t"),
+    }
+
+
 def test_docstrings_are_not_code(spark):
     source = 'def f():\n    """uses dbutils.fs"""\n    return dbutils.fs\n'
     found = corpus.findings(frame(spark, a__py=source)).collect()
@@ -128,3 +151,12 @@ def test_docstrings_by_position():
     assert docstring_lines(source) == {1, 2, 7, 12}
     assert code_line_count("") == 0 and docstring_lines("") == set()
     assert code_line_count(source) == len([l for l in source.splitlines() if l.strip() and "#" not in l]) - 4
+
+
+def test_docstrings_in_brackets_and_one_line_bodies():
+    source = (
+        '("in brackets"\n "goes on")\ndef f(a: int = {1: 2}[1]): "doc"\nclass C: x = 1\n'
+        'def g():\n    "doc"; x = 1\n    return ("no")\ndef h():\n    ("a", )\ndef i():\n    ()\n'
+    )
+    assert docstring_lines(source) == {1, 2, 3, 6}
+    assert code_line_count(source) == 7

@@ -30,54 +30,76 @@ class Rule:
     capability: str
     classification: str
     alternative: str = ""
+    factors: tuple[str, ...] = ()  # every match holds one of these, in small letters; () if unknown
 
 
-# Scan rules (key, pattern, capability, classification). The last field is
-# this library's advice.
+# Scan rules (key, pattern, capability, classification). The last two fields are
+# this library's: its advice, and the literals that a match cannot do without.
 RULES: tuple[Rule, ...] = (
     Rule("dbutils", r"\bdbutils\.",
          "Databricks Utilities (fs, secrets, widgets, notebook)", ADAPTABLE,
-         "job parameters, an object-store client, a secret manager"),
-    Rule("display", r"(?<![\w.])display\(", "Notebook display()", ADAPTABLE, "show() or a plot"),
+         "job parameters, an object-store client, a secret manager",
+         ("dbutils.",)),
+    Rule("display", r"(?<![\w.])display\(", "Notebook display()", ADAPTABLE, "show() or a plot",
+         ("display(",)),
     Rule("databricks_connect", r"\bDatabricksSession\b|from databricks\.connect",
-         "Databricks Connect session", ADAPTABLE, "a Spark Connect session"),
+         "Databricks Connect session", ADAPTABLE, "a Spark Connect session",
+         ("databrickssession", "databricks.connect")),
     Rule("databricks_sdk", r"from databricks\.sdk|import databricks\.sdk",
-         "Databricks SDK / REST APIs", PLATFORM_SPECIFIC, "isolate behind a platform adapter"),
+         "Databricks SDK / REST APIs", PLATFORM_SPECIFIC, "isolate behind a platform adapter",
+         ("databricks.sdk",)),
     Rule("spark_databricks_conf", r"spark\.databricks\.", "Databricks-only Spark configuration",
-         PLATFORM_SPECIFIC, "drop it or set it per platform"),
-    Rule("dbfs", r"dbfs:/|/dbfs/", "DBFS paths", ADAPTABLE, "a configured storage address"),
+         PLATFORM_SPECIFIC, "drop it or set it per platform",
+         ("spark.databricks.",)),
+    Rule("dbfs", r"dbfs:/|/dbfs/", "DBFS paths", ADAPTABLE, "a configured storage address",
+         ("dbfs:/", "/dbfs/")),
     Rule("volumes_path", r"/Volumes/", "Hard-coded Unity Catalog Volume path", ADAPTABLE,
-         "a configured storage address"),
+         "a configured storage address",
+         ("/volumes/",)),
     Rule("auto_loader", r"cloudFiles", "Auto Loader", REIMPLEMENT,
-         "a streaming file source with a checkpoint"),
+         "a streaming file source with a checkpoint",
+         ("cloudfiles",)),
     Rule("dlt", r"^\s*import dlt\b|@dlt\.", "Lakeflow Declarative Pipelines (dlt module)", ADAPTABLE,
-         "Spark declarative pipelines"),
+         "Spark declarative pipelines",
+         ("import dlt", "@dlt.")),
     Rule("streaming_table", r"(?i)\bCREATE\s+(OR\s+REFRESH\s+)?STREAMING\s+TABLE\b",
-         "Lakeflow streaming tables (SQL)", ADAPTABLE, "Spark declarative pipelines in SQL"),
+         "Lakeflow streaming tables (SQL)", ADAPTABLE, "Spark declarative pipelines in SQL",
+         ("streaming",)),
     Rule("materialized_view", r"(?i)\bCREATE\s+(OR\s+REPLACE\s+)?MATERIALIZED\s+VIEW\b",
-         "Materialized views", ADAPTABLE, "a declared materialized view or a refreshed table"),
+         "Materialized views", ADAPTABLE, "a declared materialized view or a refreshed table",
+         ("materialized",)),
     Rule("read_files", r"(?i)\bread_files\s*\(", "read_files() table-valued function", ADAPTABLE,
-         "a DataFrame reader"),
+         "a DataFrame reader",
+         ("read_files",)),
     Rule("ai_functions",
          r"(?i)\bai_(query|classify|extract|gen|similarity|summarize|translate|forecast)\s*\(",
-         "Databricks AI Functions", PLATFORM_SPECIFIC, "call a model service from a UDF"),
+         "Databricks AI Functions", PLATFORM_SPECIFIC, "call a model service from a UDF",
+         ("ai_",)),
     Rule("vector_search", r"databricks\.vector_search|vector_search\(", "Mosaic AI Vector Search",
-         PLATFORM_SPECIFIC, "an open vector store"),
+         PLATFORM_SPECIFIC, "an open vector store",
+         ("vector_search",)),
     Rule("secret_fn", r"(?i)\bsecret\s*\(\s*'", "SQL secret() function", ADAPTABLE,
-         "parameters or environment variables"),
+         "parameters or environment variables",
+         ("secret",)),
     Rule("cluster_by_auto", r"(?i)\bCLUSTER\s+BY\s+AUTO\b", "Automatic liquid clustering", ADAPTABLE,
-         "name the clustering columns"),
+         "name the clustering columns",
+         ("cluster",)),
     Rule("row_filter_mask", r"(?i)\b(ROW\s+FILTER|MASK)\b\s+\w", "Row filters / column masks",
-         PLATFORM_SPECIFIC, "enforce policy obligations in the query"),
+         PLATFORM_SPECIFIC, "enforce policy obligations in the query",
+         ("filter", "mask")),
     Rule("system_tables", r"\bsystem\.(billing|access|lakeflow|compute|query|information_schema)\.",
-         "Databricks system tables", PLATFORM_SPECIFIC, "event logs and monitoring"),
+         "Databricks system tables", PLATFORM_SPECIFIC, "event logs and monitoring",
+         ("system.",)),
     Rule("create_or_replace_location", r"(?i)CREATE\s+OR\s+REPLACE\s+TABLE[^;]*\bLOCATION\b",
-         "CREATE OR REPLACE TABLE ... LOCATION", ADAPTABLE, "create once, then overwrite the rows"),
+         "CREATE OR REPLACE TABLE ... LOCATION", ADAPTABLE, "create once, then overwrite the rows",
+         ("location",)),
     Rule("alter_table_meta",
          r"(?i)\bALTER\s+TABLE\b[^;]*\b(SET\s+TBLPROPERTIES|ALTER\s+COLUMN[^;]*COMMENT)\b",
-         "ALTER TABLE metadata changes", ADAPTABLE, "set comments and properties at creation"),
+         "ALTER TABLE metadata changes", ADAPTABLE, "set comments and properties at creation",
+         ("alter",)),
     Rule("notebook_magic", r"^\s*#\s*MAGIC\s+%|^%(sql|python|run|pip)\b", "Notebook magics",
-         ADAPTABLE, "plain modules and SQL files"),
+         ADAPTABLE, "plain modules and SQL files",
+         ("magic", "%sql", "%python", "%run", "%pip")),
 )
 
 # Scanned file types, skipped folders, comment markers.
@@ -87,7 +109,9 @@ COMMENT_MARKERS = {"sql": "--", "yml": "#", "yaml": "#"}
 
 # every line boundary that str.splitlines knows; one class first, so that scanning is cheap
 _LINE_BREAK = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
-_BLANKS_AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# what str.strip removes: the 29 code points that str.isspace knows
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_ODD_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def read_files(spark: SparkSession, root: str, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
@@ -158,7 +182,7 @@ def split_lines(files: DataFrame) -> DataFrame:
 
 
 def stripped(line: Column) -> Column:
-    return F.regexp_replace(line, _BLANKS_AROUND, "")
+    return F.trim(line, F.lit(_BLANKS))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -190,45 +214,77 @@ def _hit(line: Column, rule: Rule) -> Column:
     return line.rlike("(?U)" + rule.pattern)
 
 
-def _matches(line: Column, rules: Iterable[Rule]) -> Column:
-    """The rules a line matches, as structs."""
+def _folded(text: Column) -> Column:
+    """Small letters; the four others that match an ASCII letter regardless of case become that."""
+    odd = "\u017f\u212a\u0130\u0131"
+    rare = reduce(or_, [F.contains(text, F.lit(c)) for c in odd])
+    return F.lower(F.when(rare, F.translate(text, odd, "skii")).otherwise(text))
+
+
+def _may_hit(folded: Column, rule: Rule) -> Column:
+    """A plain search for the rule's literals: cheap, and true wherever the rule matches."""
+    return reduce(or_, [F.contains(folded, F.lit(f)) for f in rule.factors]) if rule.factors else F.lit(True)
+
+
+def _with_rules(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add ``__rules``, the places of the rules that may match a line; texts without any go.
+
+    A generator, so that the tests run once and are not repeated in a pushed filter.
+    """
+    tests = [F.when(_may_hit(F.col("__folded"), r), F.lit(place)) for place, r in enumerate(rules)]
+    found = F.filter(F.array(F.array_compact(F.array(*tests))), lambda places: F.size(places) > 0)
+    return (
+        files.withColumn("__folded", _folded(F.col("text")))
+        .select("*", F.explode(found).alias("__rules")).drop("__folded")
+    )
+
+
+def _matches(line: Column, folded: Column, possible: Column, rules: list[Rule]) -> Column:
+    """The rules a line matches, as structs; an expression runs only where its literals occur."""
     hits = [
         F.when(
-            _hit(line, r),
+            F.array_contains(possible, place) & _may_hit(folded, r) & _hit(line, r),
             F.struct(F.lit(r.key).alias("rule"), F.lit(r.capability).alias("capability"),
                      F.lit(r.classification).alias("classification"),
                      F.lit(r.alternative).alias("alternative")),
         )
-        for r in rules
+        for place, r in enumerate(rules)
     ]
-    return F.filter(F.array(*hits), lambda hit: hit.isNotNull())
+    return F.array_compact(F.array(*hits))
 
 
 def findings(files: DataFrame, rules: Iterable[Rule] = RULES, python: bool = True) -> DataFrame:
     """``(file, line, rule, capability, classification, alternative, text)`` per hit.
 
     Comments and docstrings are skipped: naming a construct is not using it. ``python=False``
-    leaves out the Python step for a corpus without Python files. Nothing is shuffled.
+    leaves out the Python step for a corpus without Python files. Whole texts are tested
+    first: only texts in which a rule may hit are tokenized and split, and their lines meet
+    those rules only. Nothing is shuffled.
     """
+    rules = list(rules)
     lines = F.posexplode(_lines()).alias("__pos", "__line")
-    known = _with_python(files, "__docs", _docstrings) if python else files.withColumn(
+    tested = _with_rules(files, rules)
+    known = _with_python(tested, "__docs", _docstrings) if python else tested.withColumn(
         "__docs", F.lit(None).cast("array<int>")
     )
     prepared = _with_parts(known)
     suffix = suffix_of(F.col("file"))
-    located = prepared.select(F.col("file"), suffix.alias("__suffix"), "__docs", lines).select(
-        "file", "__suffix", "__docs", (F.col("__pos") + 1).alias("line"), "__line"
+    located = prepared.select(
+        F.col("file"), suffix.alias("__suffix"), "__docs", "__rules", lines
+    ).select(
+        "file", "__suffix", "__docs", "__rules", (F.col("__pos") + 1).alias("line"), "__line",
+        _folded(F.col("__line")).alias("__folded"),
     )
-    code = located.where(
-        ~_is_comment(F.col("__line"), F.col("__suffix"))
+    line, folded, possible = F.col("__line"), F.col("__folded"), F.col("__rules")
+    # compiled code drops the many lines without a hit before the arrays are built
+    found = located.where(
+        reduce(or_, [F.array_contains(possible, p) & _may_hit(folded, r) for p, r in enumerate(rules)])
+        & ~_is_comment(line, F.col("__suffix"))
         & ~F.coalesce(F.array_contains("__docs", F.col("line")), F.lit(False))
     )
-    rules = list(rules)
-    # compiled code drops the many lines without a hit before the arrays are built
-    hit = code.where(reduce(or_, [_hit(F.col("__line"), r) for r in rules]))
     return (
-        hit.select("file", "line", "__line", F.inline(_matches(F.col("__line"), rules)))
-        .withColumn("text", stripped(F.col("__line")))
+        found.select("file", "line", "__line", F.inline(_matches(line, folded, possible, rules)))
+        .withColumn("text", stripped(line))
         .drop("__line")
     )
 
@@ -263,20 +319,20 @@ def classified(
 ) -> DataFrame:
     """Add ``group`` and ``category`` from path patterns relative to ``root``.
 
-    Files that match nothing, and package markers (``__init__.py``), are left out.
+    A file gets a row for each category that it matches. Files that match nothing, and
+    package markers (``__init__.py``), are left out.
     """
     base = re.escape(os.path.join(root, ""))
-    place = None
-    for group, categories in inventory.items():
-        for category, patterns in categories.items():
-            regex = f"{base}({'|'.join(map(_glob_regex, patterns))})$"
-            value = F.struct(F.lit(group).alias("group"), F.lit(category).alias("category"))
-            hit = F.col("file").rlike(regex)
-            place = F.when(hit, value) if place is None else place.when(hit, value)
-    return (
-        files.withColumn("__place", place)
-        .where(F.col("__place").isNotNull() & ~F.endswith("file", F.lit("/__init__.py")))
-        .select("*", "__place.group", "__place.category").drop("__place")
+    places = [
+        F.when(
+            F.col("file").rlike(f"^{base}({'|'.join(map(_glob_regex, patterns))})$"),
+            F.struct(F.lit(group).alias("group"), F.lit(category).alias("category")),
+        )
+        for group, categories in inventory.items()
+        for category, patterns in categories.items()
+    ]
+    return files.where(~F.endswith("file", F.lit("/__init__.py"))).select(
+        "*", F.inline(F.array_compact(F.array(*places)))
     )
 
 

@@ -329,11 +329,11 @@ register("stored_rows", _stored_rows, "WITH " + standin.oracle_cte("orders") + "
 
 # Rules for the given prose; java, python and re2 read these patterns alike.
 _TEXT_RULES = (
-    corpus.Rule("mail_address", r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[a-z]+", "mail", "PERSONAL"),
-    corpus.Rule("ip_address", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "network", "PERSONAL"),
-    corpus.Rule("license_line", r"(?i)licen[sc]e", "license", "LEGAL"),
-    corpus.Rule("assigned_token", r"token = \"[0-9a-f]+", "secret", "SECRET"),
-    corpus.Rule("table_row", r"\|.*\|", "layout", "LAYOUT"),
+    corpus.Rule("mail_address", r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[a-z]+", "mail", "PERSONAL", factors=("@",)),
+    corpus.Rule("ip_address", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "network", "PERSONAL", factors=(".",)),
+    corpus.Rule("license_line", r"(?i)licen[sc]e", "license", "LEGAL", factors=("licen",)),
+    corpus.Rule("assigned_token", r"token = \"[0-9a-f]+", "secret", "SECRET", factors=("token = ",)),
+    corpus.Rule("table_row", r"\|.*\|", "layout", "LAYOUT", factors=("|",)),
 )
 
 
@@ -406,6 +406,115 @@ register(
     WHERE o."group" <> 'shared'""",
 )
 
+# Code-shaped files: every line of a document becomes a function with a docstring, a comment
+# and a statement that name a construct. These values are lines of the fixture.
+_CONSTRUCTS = (
+    'x = dbutils.widgets.get("a")', "display(x)", "from databricks.connect import DatabricksSession",
+    "from databricks.sdk import WorkspaceClient", 'spark.conf.set("spark.databricks.io.cache", 1)',
+    'open("/dbfs/tmp/a")', 'p = "/Volumes/a/b"', 'reader.format("cloudFiles")', "import dlt",
+    "create streaming table a", "CREATE OR REPLACE MATERIALIZED VIEW v AS SELECT 1", "READ_FILES (x)",
+    "select ai_query(m, p)", "vector_search(i)", "secret ( 'scope')", "CREATE TABLE t CLUSTER BY AUTO",
+    "ALTER TABLE t SET ROW FILTER f", "select * from system.billing.usage",
+    "CREATE OR REPLACE TABLE t LOCATION a", "ALTER TABLE t SET TBLPROPERTIES (a)", "# MAGIC %sql",
+    "%sql", "x = my.display(1)", "x = 1", "redisplay(x)",
+)
+_KINDS, _MARKERS = ("py", "sql", "yml", "scala"), ("#", "--", "#", "//")
+
+
+def _code_files(spark, sf_dir) -> DataFrame:
+    """One file for each document: ``(file, text)``. The length of a text picks its kind."""
+    docs = standin.parquet(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    constructs = F.array(*map(F.lit, _CONSTRUCTS))
+    kind = F.coalesce(F.length("text") % len(_KINDS), F.lit(0))
+    marker = F.get(F.array(*map(F.lit, _MARKERS)), kind)
+
+    def block(line, i):
+        plain = F.regexp_replace(line, "[^A-Za-z0-9 ]", "")
+        construct = F.get(constructs, (F.length(plain) + i) % len(_CONSTRUCTS))
+        return F.concat_ws(
+            "\n", F.concat(F.lit("def f"), i.cast("string"), F.lit("(x):")),
+            F.concat(F.lit('    """'), construct, F.lit(" "), plain, F.lit('."""')),
+            F.concat(F.lit("    "), marker, F.lit(" "), construct),
+            F.concat(F.when(i % 2 == 0, "").otherwise("    "), construct, F.lit("  "), marker, F.lit(" "), plain),
+        )
+
+    name = F.concat(
+        F.lit("repo/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"),
+        F.lit("."), F.get(F.array(*map(F.lit, _KINDS)), kind),
+    )
+    return docs.select(
+        name.alias("file"), F.concat_ws("\n", F.transform(F.split("text", "\n", -1), block)).alias("text")
+    )
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(map(_quote, values)) + "]"
+
+
+_QUOTES = "repeat(chr(34), 3)"
+_CODE_LINES_SQL = rf"""
+    WITH d AS (SELECT source, doc_id, coalesce(length(text) % {len(_KINDS)}, 0) AS kind,
+                      string_split(text, chr(10)) AS parts FROM documents),
+    f AS (SELECT 'repo/' || coalesce(source, 'none') || '/' || CAST(doc_id AS VARCHAR) || '.'
+                   || {_list(_KINDS)}[kind + 1] AS file, {_list(_KINDS)}[kind + 1] AS kind,
+                 {_list(_MARKERS)}[kind + 1] AS marker, parts FROM d),
+    b AS (SELECT file, kind, marker, generate_subscripts(parts, 1) - 1 AS i,
+                 regexp_replace(unnest(parts), '[^A-Za-z0-9 ]', '', 'g') AS plain FROM f),
+    c AS (SELECT *, {_list(_CONSTRUCTS)}[(length(plain) + i) % {len(_CONSTRUCTS)} + 1] AS construct FROM b),
+    lines AS (
+      SELECT file, kind, 4 * i + 1 AS line, 'def f' || CAST(i AS VARCHAR) || '(x):' AS body, false AS doc FROM c
+      UNION ALL SELECT file, kind, 4 * i + 2, '    ' || {_QUOTES} || construct || ' ' || plain || '.' || {_QUOTES},
+                       kind = 'py' FROM c
+      UNION ALL SELECT file, kind, 4 * i + 3, '    ' || marker || ' ' || construct, false FROM c
+      UNION ALL SELECT file, kind, 4 * i + 4,
+                       CASE WHEN i % 2 = 0 THEN '' ELSE '    ' END || construct || '  ' || marker || ' ' || plain,
+                       false FROM c),
+    code AS (SELECT file, kind, CAST(line AS INT) AS line, body, trim(body) AS bare FROM lines WHERE NOT doc)"""
+
+# re2 has no lookbehind; this says the same for a test.
+_RE2 = {r.key: r.pattern for r in corpus.RULES} | {"display": r"(^|[^\w.])display\("}
+_CODE_HITS_SQL = _CODE_LINES_SQL + ",\n hits AS (" + " UNION ALL ".join(
+    f"SELECT file, line, '{r.key}' AS rule, {_quote(r.capability)} AS capability, "
+    f"'{r.classification}' AS classification, {_quote(r.alternative)} AS alternative, bare AS text FROM code "
+    f"WHERE regexp_matches(body, {_quote(_RE2[r.key])}) AND NOT ("
+    "kind = 'py' AND starts_with(bare, '#') AND NOT contains(body, 'MAGIC') "
+    "OR kind = 'yml' AND starts_with(bare, '#') OR kind = 'sql' AND starts_with(bare, '--'))"
+    for r in corpus.RULES
+) + ")"
+register(
+    "corpus_code_hits",
+    lambda spark, sf_dir: corpus.findings(_code_files(spark, sf_dir)),
+    _CODE_HITS_SQL + " SELECT * FROM hits",
+)
+
+# Path patterns of the code files; a file may stand in several groups.
+_INVENTORY = {
+    "shared": {"transformation": ["src?/*.py", "none/*.*"], "orchestration": ["src1?/*.py", "src1?/*.yml"]},
+    "lakehouse": {"transformation": ["src*/*.sql"], "orchestration": ["src1?/*.yml", "src*/*.scala"]},
+}
+
+
+def _code_loc(spark, sf_dir) -> DataFrame:
+    counted = corpus.code_lines(_code_files(spark, sf_dir))
+    return corpus.loc_totals(corpus.classified(counted, "repo", _INVENTORY))
+
+
+_PLACE_SQL = "(VALUES " + ", ".join(
+    f"('{group}', '{category}', {_list('repo/' + p for p in patterns)})"
+    for group, categories in _INVENTORY.items() for category, patterns in categories.items()
+) + ') AS p("group", category, patterns)'
+register(
+    "corpus_code_loc", _code_loc,
+    _CODE_LINES_SQL + f""",
+    n AS (SELECT file, count(CASE WHEN bare <> '' AND NOT starts_with(
+                         bare, CASE kind WHEN 'sql' THEN '--' ELSE '#' END) THEN 1 END) AS loc
+          FROM code GROUP BY file),
+    every AS (SELECT f.file, CASE WHEN f.parts IS NULL THEN 0 ELSE loc END AS loc FROM f LEFT JOIN n ON n.file = f.file)
+    SELECT "group", category, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc
+    FROM every, {_PLACE_SQL}
+    WHERE len(list_filter(patterns, lambda g: file GLOB g)) > 0 GROUP BY ALL""",
+)
+
 # --- coverage and rules -----------------------------------------------------------------
 
 _STATUS = (
