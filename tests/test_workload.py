@@ -130,6 +130,26 @@ def test_queries_run_and_match_their_sql(spark, built):
     assert {r["query"]: r.verdict for r in verdicts} == {n: "PASSED" for n in names}
 
 
+def test_a_query_that_fails_gets_that_verdict(spark, built, monkeypatch):
+    plans = {"q06": workload.tpch.PLANS["q06"], "q13": lambda t, **_: t.orders.select("no_such_column")}
+    monkeypatch.setattr(workload.tpch, "PLANS", plans)
+    made = {r["query"]: r for r in workload.check_queries(spark, built[0], ["q06", "q13"]).collect()}
+    assert made["q06"].verdict == "PASSED" and made["q13"].verdict == "FAILED"
+    assert "no_such_column" in made["q13"].reason
+
+
+def test_incremental_replay(spark, tmp_path):
+    store = DimensionStore(spark, str(tmp_path / "dim"), changes.SCHEMA)
+    batches = {b: changes.batch_frame(spark, b) for b in changes.BATCHES}
+    first = workload.incremental_replay(store, batches).collect()
+    assert [(r.batch_id, r.added, r.applied, r.refused_again, r.applied_again) for r in first] == [
+        (b, True, True, True, False) for b in changes.BATCHES
+    ]
+    assert [r.unlike_log for r in first] == [0, 0, 0] and first[-1].versions == len(GOLDEN)
+    again = workload.incremental_replay(store, batches).collect()
+    assert not any(r.added or r.applied for r in again)
+
+
 def test_gold_reconciles(spark, built):
     layout = built[0]
     gold = tables.table(spark, layout, layout.gold, workload.GOLD_TABLE)

@@ -226,6 +226,15 @@ def compare_sorted(
 # --- stored query results ---------------------------------------------------------------
 
 
+# Reasons of a comparison, as readers of stored verdicts know them.
+EQUAL = "equal"
+EQUAL_BLANK = "equal (single NULL row)"
+EQUAL_TIES = "equal (ignoring order of tied rows)"
+ROWS_DIFFER = "row count %d != %d"
+COLUMNS_DIFFER = "column count %d != %d"
+FIRST_DIFFERENCE = "first difference at row %d"
+
+
 def _sort_key(cells: Column) -> Column:
     """Numbers to one decimal, then texts: the order in which tied rows are compared."""
 
@@ -297,19 +306,16 @@ def compare_results(
         (rows_b == 0) & (rows_a == 1) & F.coalesce("a_blank", F.lit(False))
     )
     reason = (
-        F.when(blank, "equal (single NULL row)")
-        .when(rows_a != rows_b, F.concat(F.lit("row count "), rows_a.cast("string"),
-                                         F.lit(" != "), rows_b.cast("string")))
+        F.when(blank, EQUAL_BLANK)
+        .when(rows_a != rows_b, F.format_string(ROWS_DIFFER, rows_a, rows_b))
         .when(F.col("a_columns") != F.col("b_columns"),
-              F.concat(F.lit("column count "), F.col("a_columns").cast("string"),
-                       F.lit(" != "), F.col("b_columns").cast("string")))
-        .when(F.coalesce("__bad_place", F.lit(0)) == 0, "equal")
-        .when(F.col("__bad_rank") == 0, "equal (ignoring order of tied rows)")
-        .otherwise(F.concat(F.lit("first difference at row "),
-                            (F.col("__first_place") - 1).cast("string")))
+              F.format_string(COLUMNS_DIFFER, "a_columns", "b_columns"))
+        .when(F.coalesce("__bad_place", F.lit(0)) == 0, EQUAL)
+        .when(F.col("__bad_rank") == 0, EQUAL_TIES)
+        .otherwise(F.format_string(FIRST_DIFFERENCE, F.col("__first_place") - 1))
     )
     return facts.select("query", reason.alias("reason")).select(
-        "query", F.col("reason").startswith("equal").alias("equal"), "reason"
+        "query", F.col("reason").startswith(EQUAL).alias("equal"), "reason"
     )
 
 

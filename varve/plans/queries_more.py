@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varve import workload
 from varve.functions.encoding import record_hash
 from varve.functions.masking import mask_email
 from varve.operators import corpus, coverage, policy, scd2, suite
@@ -631,6 +632,25 @@ def _stream_dimension(spark, sf_dir):
     return store.dimension()
 
 
+def _replayed(spark, sf_dir):
+    """The order log fed to a store batch by batch, and all of it again."""
+    log = _order_steps(spark, sf_dir)
+    return workload.incremental_replay(
+        _order_store(spark, _scratch(spark), "dimension"),
+        {b: log.where(F.col("batch_id") == b) for b in (1, 2, 3)},
+    )
+
+
+register(
+    "incremental_replay", _replayed,
+    _STEP_DIM_SQL + """,
+    b AS (SELECT * FROM (VALUES (1, DATE '1998-01-01'), (2, DATE '2000-01-01'), (3, NULL)) AS v(batch_id, until))
+    SELECT b.batch_id, true AS added, true AS applied, true AS refused_again, false AS applied_again,
+           count(*) AS versions,
+           count(CASE WHEN c.nxt IS NULL OR c.nxt >= b.until THEN 1 END) AS current_versions,
+           CAST(0 AS BIGINT) AS unlike_log
+    FROM b JOIN c ON c.batch_id <= b.batch_id AND c.state IS NOT NULL GROUP BY b.batch_id""",
+)
 register("scd2_store", _store_dimension, _STEP_DIM_SQL + "SELECT * FROM dim")
 register("stream_scd2", _stream_dimension, _STEP_DIM_SQL + "SELECT * FROM dim")
 

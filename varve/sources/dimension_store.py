@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +34,12 @@ class DimensionStore:
         return f"{self.root.rstrip('/')}/{part}"
 
     def _exists(self, part: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(part))
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return path.getFileSystem(conf).exists(path)
+        try:
+            return bool(self.spark.read.schema(_COMMITS).parquet(self._path(part)).schema)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
 
     def _finished(self, step: str) -> list[int]:
         if not self._exists("commits"):

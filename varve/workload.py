@@ -7,7 +7,10 @@ so any scheduler can call them; ``run`` calls them in order.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +114,40 @@ def run_incremental(spark: SparkSession, root: str) -> dict:
     }
 
 
+def incremental_replay(store: DimensionStore, batches: Mapping[int, DataFrame]) -> DataFrame:
+    """Feed batches one by one, then all of them again; one row for each batch.
+
+    ``added`` and ``refused_again`` tell what the store did with a batch the first and the
+    second time, ``applied`` and ``applied_again`` whether it was folded into the dimension.
+    ``versions`` and ``current_versions`` count the dimension after the batch, and
+    ``unlike_log`` the rows by which the dimension at the end differs from one built from the
+    whole log at once. Rows of the dimension never pass through the driver.
+    """
+    facts = []
+    for batch_id, rows in sorted(batches.items()):
+        added = store.ingest(batch_id, rows)
+        applied = batch_id in store.apply_pending()
+        counted = store.dimension().agg(
+            F.count(F.lit(1)).alias("versions"), F.count_if("is_current").alias("current_versions")
+        )
+        facts.append((batch_id, added, applied, counted))
+    refused = {b: not store.ingest(b, rows) for b, rows in batches.items()}
+    repeated = store.apply_pending()
+    rebuilt = reconcile.difference(store.dimension(), scd2.from_log(store.log(), store.spec))
+    unlike = rebuilt.count()
+
+    def row(batch_id: int, added: bool, applied: bool, counted: DataFrame) -> DataFrame:
+        known = {
+            "batch_id": F.lit(batch_id).cast("int"), "added": F.lit(added), "applied": F.lit(applied),
+            "refused_again": F.lit(refused[batch_id]), "applied_again": F.lit(batch_id in repeated),
+        }
+        return counted.select(
+            *[value.alias(name) for name, value in known.items()], "*", F.lit(unlike).cast("bigint").alias("unlike_log")
+        )
+
+    return reduce(DataFrame.unionByName, [row(*f) for f in facts])
+
+
 def run_queries(
     spark: SparkSession, layout: Layout, repeats: int = 1, names: list[str] | None = None
 ) -> DataFrame:
@@ -127,22 +164,25 @@ def check_queries(spark: SparkSession, layout: Layout, names: list[str] | None =
     t = silver(spark, layout)
     chosen = names or list(tpch.PLANS)
 
-    def stored(build) -> DataFrame:
-        frame = None
-        for n in chosen:
-            rows = tables.result_rows(build(n), n)
-            frame = rows if frame is None else frame.unionByName(rows)
-        return frame
-
     def table(name: str) -> str:
         return layout.name(layout.silver, name)
 
-    outcomes = spark.createDataFrame(
-        [(n, True, None) for n in chosen], "query STRING, success BOOLEAN, error STRING"
-    )
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        return tables.result_rows(df, name).select(*nothing.columns)  # runs the query
+
+    nothing = spark.createDataFrame([], "query STRING, ordinal BIGINT, cells ARRAY<STRING>")
+    results, outcomes = nothing, []
+    for n in chosen:
+        try:
+            results = results.unionByName(stored(tpch.run(n, t), n))
+            outcomes.append((n, True, None))
+        except PySparkException as error:  # a query that fails has that verdict
+            outcomes.append((n, False, f"{type(error).__name__}: {error}"))
+    reference = [stored(tpch_sql.run_sql(spark, n, table), n) for n in chosen]
     return suite.verdicts(
-        outcomes, stored(lambda n: tpch.run(n, t)),
-        stored(lambda n: tpch_sql.run_sql(spark, n, table)),
+        spark.createDataFrame(outcomes, "query STRING, success BOOLEAN, error STRING"),
+        results, reduce(DataFrame.unionByName, reference, nothing),
+        referenced=spark.createDataFrame([(n,) for n in chosen], "query STRING"),
     )
 
 
