@@ -154,19 +154,12 @@ def orphan_reports(
 
 # --- schemas ----------------------------------------------------------------------------
 
-# Other spellings of Spark type names.
-TYPE_ALIASES = {"integer": "int", "long": "bigint"}
-
-
-def _type_name(text: str) -> str:
-    return TYPE_ALIASES.get(text.lower(), text.lower())
-
-
 def schema_matches(df: DataFrame, table: str) -> bool:
     """Same columns in the same order with the declared types."""
-    actual = [(f.name, _type_name(f.dataType.simpleString())) for f in df.schema.fields]
-    declared = [(f.name, _type_name(f.dataType.simpleString())) for f in schema.struct(table).fields]
-    return actual == declared
+    def shape(struct: T.StructType) -> list[tuple[str, T.DataType]]:
+        return [(f.name, f.dataType) for f in struct.fields]
+
+    return shape(df.schema) == shape(schema.struct(table))
 
 
 def schema_report(df: DataFrame, table: str) -> DataFrame:
@@ -190,8 +183,8 @@ def schema_report(df: DataFrame, table: str) -> DataFrame:
     totals = df.agg(*[uncastable(f).alias(f"__{i}") for i, f in enumerate(declared)])
     entries = []
     for i, f in enumerate(declared):
-        want = _type_name(f.dataType.simpleString())
-        have = _type_name(present[f.name].simpleString()) if f.name in present else None
+        want = f.dataType.simpleString()
+        have = present[f.name].simpleString() if f.name in present else None
         entries.append(F.struct(
             F.lit(f.name).alias("column_name"), F.lit(want).alias("declared_type"),
             F.lit(have).cast("string").alias("actual_type"),
