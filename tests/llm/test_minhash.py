@@ -114,6 +114,16 @@ def test_large_group_gives_few_pairs(spark):
     assert merged.count() == 0 and dense.count() == 0
 
 
+def test_lists_across_families_give_few_pairs(spark):
+    """Nodes of different components that share lists of middling size are left to the blocks, not paired in each list."""
+    ensure_checkpoints(spark)
+    posted = spark.range(8).withColumnRenamed("id", "key").crossJoin(spark.range(250).withColumnRenamed("id", "node")).select(
+        "key", "node", F.lit(100).alias("n"), F.lit(0).alias("own"), F.col("node").alias("component"))
+    merged, dense = minhash.merged_pairs(posted, 80)
+    assert merged.count() <= 8 * posted.count()
+    assert dense.count() == 250
+
+
 def test_signatures_agree_as_sets_do():
     """Agreeing coordinates of sets at known similarities, over many pairs: mean and spread of a binomial count."""
     rnd = np.random.default_rng(5)

@@ -50,8 +50,9 @@ SHINGLE, PERCENT = 2, 80
 COORDINATES, MISS = 128, 1e-9
 #: Collisions that a pair must have in the prefixes.
 EXTRA = 8
-#: Nodes of a list that is still merged, and nodes of a block whose signatures are compared.
-CROWD, BLOCK = 256, 2048
+#: Nodes of a list that is still merged, so that a posting makes at most half as many rows; and nodes of a block whose
+#: signatures are compared.
+CROWD, BLOCK = 32, 2048
 #: Shingles of a block of sets, where every set counts SET more, so that a block has at most 2048 of them.
 WEIGHT, SET = 1 << 20, 1 << 9
 #: Nodes whose pairs are asked for together, and pairs that make up a bucket.
