@@ -160,3 +160,10 @@ def test_docstrings_in_brackets_and_one_line_bodies():
     )
     assert docstring_lines(source) == {1, 2, 3, 6}
     assert code_line_count(source) == 7
+
+
+def test_code_files_clean_a_text_once(spark, tiny):
+    from varve.plans import queries_more
+
+    plan = queries_more._code_files(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("length(text") == 1, plan
