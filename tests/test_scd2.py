@@ -227,3 +227,22 @@ def test_as_of_join(spark):
     assert scd2.as_of_join(frame.where("day IS NULL"), dim, F.col("who"), F.col("day")).where("version IS NULL").count() == sum(d is None for _, _, d in facts)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_log_without_long_keys_is_shuffled_once(spark):
+    """Split points in keys of few rows are dropped, so nothing has to be linked; a long key is still cut."""
+    log = spark.range(4000).select(
+        F.lit(1).alias("batch_id"), F.expr("date_add(DATE '2020-01-01', CAST(id AS INT))").alias("effective_date"),
+        F.lit("U").alias("op"), (F.col("id") % 400).alias("customer_id"),
+        F.lit("n").alias("name"), F.lit("s").alias("segment"), F.col("id").cast("string").alias("city"),
+    )
+    order = ["effective_date", "batch_id"]
+    assert ordered.split_points(log, ["customer_id"], order) == {}
+    dim = scd2.from_log(log)
+    plan = dim._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("+- Sort [") == 1, plan
+    assert dim.count() == 4000 and dim.where("is_current").count() == 400
+    long = log.withColumn("customer_id", F.when(F.col("customer_id") < 200, -1).otherwise(F.col("customer_id")))
+    assert set(ordered.split_points(long, ["customer_id"], order)) == {("-1",)}
+    left = ordered.split_chunks(long, ["customer_id"], order).where(f"{ordered.CHUNK} IS NULL")
+    assert left.count() == 2000 and left.where("customer_id = -1").isEmpty()

@@ -82,3 +82,30 @@ def test_change_batches_cut_over_micro_batches(spark, tmp_path):
     late.coalesce(1).write.mode("append").parquet(landing)
     with pytest.raises(Exception, match="which was applied"):
         ingest.to_dimension(stream, store, str(tmp_path / "progress"))
+
+
+def test_a_row_in_two_parts_changes_a_run_once(spark, tmp_path):
+    """Runs take the log as it lies: no exchange makes its rows distinct, and a row twice is one change."""
+    spec = scd2.Spec(sequence=("effective_date", "seq"), many_per_batch=True)
+    feed = changes.feed(spark).withColumn("seq", F.col("batch_id").cast("bigint"))
+    store = DimensionStore(spark, str(tmp_path / "dim"), f"{changes.SCHEMA}, seq BIGINT", spec)
+    for part in ("a", "b"):
+        store.add_part(feed, part)
+    store.close_parts()
+    assert "Exchange" not in store._pending(1)._jdf.queryExecution().executedPlan().toString()
+    assert store._pending(1).count() == 2 * store.batch(1).count()
+    assert store.apply_pending() == [1, 2, 3]
+    assert [tuple(r) for r in scd2.snapshot(store.dimension()).collect()] == GOLDEN
+
+
+def test_change_files_grow_in_number_with_the_orders(spark, tiny, tmp_path, monkeypatch):
+    from varve.plans import queries_more
+
+    monkeypatch.setattr(queries_more, "_scratch", lambda _: str(tmp_path))
+    monkeypatch.setattr(queries_more, "_FEED_ROWS", 100)
+    dim = queries_more._stream_dimension(spark, tiny)
+    feed = spark.read.parquet(str(tmp_path / "feed"))
+    assert len(feed.inputFiles()) == 15 and feed.count() == 1500
+    assert len(list((tmp_path / "progress" / "commits").glob("[0-9]*"))) == 3
+    log = queries_more._order_steps(spark, tiny)
+    assert difference(dim, scd2.from_log(log, queries_more._STEP_SPEC)).isEmpty()

@@ -7,11 +7,13 @@ then spread over many tasks.
 
 ``CHUNK`` must not decrease along the order inside a group. Use ``split_chunks``, a rule computed from
 the row (a minute, an integer part) when the data offers one, or ``range_chunks``. NULL keys
-form a group of their own, as in any window.
+form a group of their own, as in any window. A NULL chunk is that of a group left whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +31,13 @@ def chunked(df: DataFrame, chunk: Column) -> DataFrame:
 SAMPLED = 32
 
 
-def split_chunks(
+def split_points(
     df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None
-) -> DataFrame:
-    """Chunks between split points of the (key, order) sequence, without a shuffle.
+) -> dict[tuple, list[tuple]]:
+    """The places where keys with many rows are cut, as texts; empty if no key has that many.
 
-    The splits are every SAMPLED-th row of a sample with a bound, so only keys with many rows have some. They
-    become literals of the plan: each row looks up the splits of its key and counts those not after it.
+    The places are every SAMPLED-th row of a sample with a bound. A key with less than a quarter as many
+    sampled rows is left whole, also where such a place falls into it.
     """
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = df.count()
@@ -44,9 +46,26 @@ def split_chunks(
         F.struct(*[F.col(k).cast("string") for k in keys]).alias("key"),
         F.struct(*[F.col(c).cast("string") for c in order]).alias("place"),
     )
-    splits: dict[tuple, list[tuple]] = {}
-    for row in drawn.limit(4 * SAMPLED * parts).collect()[SAMPLED - 1::SAMPLED]:
-        splits.setdefault(tuple(row.key), []).append(tuple(row.place))
+    seen = drawn.limit(4 * SAMPLED * parts).collect()
+    held = Counter(tuple(row.key) for row in seen)
+    points: dict[tuple, list[tuple]] = {}
+    for row in seen[SAMPLED - 1::SAMPLED]:
+        if 4 * held[tuple(row.key)] >= SAMPLED:
+            points.setdefault(tuple(row.key), []).append(tuple(row.place))
+    return points
+
+
+def split_chunks(
+    df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None,
+    points: dict[tuple, list[tuple]] | None = None,
+) -> DataFrame:
+    """Chunks between split points of the (key, order) sequence, without a shuffle.
+
+    The points become literals of the plan: each row looks up those of its key and counts the ones not after
+    it. Keys without any are left whole, and their chunk is NULL.
+    """
+    if points is None:
+        points = split_points(df, keys, order, partitions)
     # a chunk of each key is named by the texts of its columns, NULL apart from every text
     name = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
     place = F.struct(*[F.col(c) for c in order])
@@ -55,14 +74,16 @@ def split_chunks(
     def literal(values: tuple) -> Column:
         return F.struct(*[F.lit(v).cast(kind).alias(c) for v, kind, c in zip(values, kinds, order)])
 
-    chunk = F.lit(0)
-    if splits:
-        text = F.create_map(*[x for key, places in splits.items() for x in (
+    chunk = F.lit(None)
+    if points:
+        text = F.create_map(*[x for key, places in points.items() for x in (
             F.to_json(F.array(*[F.lit(v).cast("string") for v in key])),
             F.array(*[literal(values) for values in dict.fromkeys(places)]),
         )])
-        chunk = F.coalesce(F.size(F.filter(F.try_element_at(text, name), lambda split: split <= place)), F.lit(0))
-        chunk = F.when(chunk < 0, 0).otherwise(chunk)
+        chunk = F.when(
+            F.map_contains_key(text, name),
+            F.size(F.filter(F.try_element_at(text, name), lambda split: split <= place)),
+        )
     return df.select("*", chunk.cast("int").alias(CHUNK))
 
 
@@ -139,19 +160,28 @@ def _neighbour(
 
     Both parts read the same shuffled rows. The second part holds at most two rows per
     chunk, in which the row next to a chunk's first row is the last of the chunk before.
+    Without a chunk column every group is whole, and one window does it.
     """
     step = F.lead if forward else F.lag
+    wrapped = F.struct(F.col(value).alias("value"))
+    if CHUNK not in df.columns:
+        return df.withColumn(name, step(wrapped).over(Window.partitionBy(*keys).orderBy(*order)))
     around = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     # the wrapped value is a column of both parts, so that they share one exchange
-    rows = df.withColumn("__value", F.struct(F.col(value).alias("value"))).select(
+    rows = df.withColumn("__value", wrapped).select(
         "*", step("__value").over(around).alias(name),
         F.lag(F.lit(True)).over(around).isNull().alias("__first"),
         F.lead(F.lit(True)).over(around).isNull().alias("__last"),
     )
-    border = F.col("__last" if forward else "__first")
+
+    def cut(edge: Column) -> Column:
+        # one expression, as a test of the chunk alone would move below the exchange and undo its reuse
+        return F.when(edge, F.col(CHUNK).isNotNull()).otherwise(False)
+
+    border = cut(F.col("__last" if forward else "__first"))
     across = Window.partitionBy(*keys).orderBy(CHUNK, *order)
     borders = (
-        rows.where(F.col("__first") | F.col("__last"))
+        rows.where(cut(F.col("__first") | F.col("__last")))
         .withColumn(name, step("__value").over(across))
         .where(border)
     )

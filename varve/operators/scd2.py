@@ -158,17 +158,20 @@ def _apply_runs(dimension: DataFrame, changes: DataFrame, spec: Spec) -> DataFra
         begun.alias(spec.effective), F.lit("U").alias(spec.op),
         *[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in later],
     )
-    runs = from_log(opening.unionByName(changes.select(*opening.columns)), spec)
+    # the opening rows, one for each key, make no key long: the splits come from the batch alone
+    runs = from_log(opening.unionByName(changes.select(*opening.columns)), spec, changes)
     closed = dimension.where(~F.col("is_current")).select(*spec.columns)
     return closed.unionByName(kept).unionByName(runs.select(*spec.columns))
 
 
-def from_log(log: DataFrame, spec: Spec = CUSTOMER) -> DataFrame:
+def from_log(log: DataFrame, spec: Spec = CUSTOMER, drawn: DataFrame | None = None) -> DataFrame:
     """The dimension after every batch of the log, in one pass over it.
 
     A row opens a version when its state differs from the state before it, and the next
-    such row closes that version. The log is cut into about as many chunks as partitions along (key, sequence), and
-    at most two rows of each link it to the next, so one very active key is spread over many tasks.
+    such row closes that version. Keys with many rows are cut into chunks along the sequence, about as many as
+    partitions in all, and at most two rows of each link it to the next, so one very active key is spread over many
+    tasks. A log without such keys is shuffled and sorted once. ``drawn`` is what the chunks are judged by, the log
+    itself unless a cheaper part of it tells its long keys.
     """
     order = list(spec.sequence)
     state = F.when(F.col(spec.op) == "U", F.struct(*spec.tracked))
@@ -177,7 +180,8 @@ def from_log(log: DataFrame, spec: Spec = CUSTOMER) -> DataFrame:
         *spec.keys, *dict.fromkeys([*order, spec.effective]), state.alias("__state")
     )
     keys = list(spec.keys)
-    chunks = ordered.split_chunks(rows, keys, order)
+    points = ordered.split_points(rows if drawn is None else drawn, keys, order)
+    chunks = ordered.split_chunks(rows, keys, order, points=points) if points else rows
     before = ordered.previous(chunks, keys, order, "__state", "__prev")
     changed = before.where(~F.col("__state").eqNullSafe(F.col("__prev.value"))).drop("__prev")
     until = ordered.following(changed, keys, order, spec.effective, "__next")

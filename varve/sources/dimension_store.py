@@ -104,6 +104,13 @@ class DimensionStore:
         """The changes of one batch. A row that was delivered in two parts counts once."""
         return self._rows().where(F.col(self.spec.batch) == batch_id).distinct()
 
+    def _pending(self, batch_id: int) -> DataFrame:
+        """One batch to be applied. In a run of changes a row delivered twice stands next to itself and
+        changes nothing the second time, so runs take the rows as they lie."""
+        if self.spec.many_per_batch:
+            return self._rows().where(F.col(self.spec.batch) == batch_id)
+        return self.batch(batch_id)
+
     def log(self) -> DataFrame:
         """The changes of every finished batch."""
         return self._rows().where(F.col(self.spec.batch).isin(self.ingested())).distinct()
@@ -147,7 +154,7 @@ class DimensionStore:
         if done and pending and pending[0] < done[-1]:
             raise ValueError(f"batch {pending[0]} arrived after batch {done[-1]} was applied")
         for batch_id in pending:
-            changes = self.batch(batch_id)
+            changes = self._pending(batch_id)
             current = self.current()
             if current is None:
                 current = scd2.empty(self.spark, changes, self.spec)
