@@ -53,7 +53,7 @@ def test_weights_count_every_suffix():
 def test_weights_by_steps(monkeypatch):
     own = suffixes.Suffixes(slice_with([t for _, t in hot(30) if t]), suffixes.LENGTH)
     whole = own.weights(5)
-    monkeypatch.setattr(suffixes, "STEP", 17)
+    monkeypatch.setattr(suffixes, "STRETCH", 17)
     assert (own.weights(5) == whole).all()
 
 

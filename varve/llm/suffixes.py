@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from varve.llm.common import BYTE_BASE, Slice, covered, runs, span_hashes, span_sums, spans_of, spread_bytes
+from varve.llm.common import BYTE_BASE, Slice, covered, mixed, powers, runs, span_hashes, span_sums, spans_of, spread_bytes
 from varve.llm.sliced import (
     ANSWER, NO_ID, answer, answered, bucket_of, bucket_order, deal, pack_ids, seen_twice, send, short_keys, slice_of, unpack_ids,
 )
@@ -39,8 +39,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Bytes of text for a bucket on the average at most; suffixes of a bucket that may meet there as runs of text.
 MOST, OVER = 4 << 20, 8 << 20
-#: Bytes of text that are hashed at a time, and suffixes that are compared at a time.
-STEP, ROUND = 1 << 20, 1 << 19
+#: Bytes of text that are hashed at a time, suffixes that are compared at a time, and places that are weighed at a time.
+STEP, ROUND, STRETCH = 1 << 20, 1 << 19, 1 << 15
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -106,10 +106,17 @@ class Suffixes:
     def weights(self, buckets: int) -> np.ndarray:
         """How many suffixes have their least tuple in each bucket, whether or not they will be merged."""
         out, whole = np.zeros(buckets, np.int64), ~self.short()
-        for begin in range(0, self.size, STEP):
-            end = min(begin + STEP, self.size)
-            least = self.least_tuples(np.arange(begin, min(end + PERIOD - 1, self.size)), end - begin)
-            out += np.bincount(bucket_of(least[whole[begin:end]], buckets), minlength=buckets)
+        sums, back, width = self.sums, powers(BYTE_BASE, len(self.sums))[1], np.uint64(self.tuple)
+        for begin in range(0, self.size, STRETCH):
+            end = min(begin + STRETCH, self.size)
+            last = min(end + PERIOD - 1, self.size - self.tuple + 1)
+            tuples = np.full(end - begin + 2 * PERIOD, np.iinfo(np.uint64).max)
+            if last > begin:
+                tuples[:last - begin] = mixed((sums[begin + self.tuple:last + self.tuple] - sums[begin:last]) * back[begin:last] + width)
+            least = _least(tuples, end - begin, PERIOD)[whole[begin:end]]
+            if len(least):
+                first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+                np.add.at(out, bucket_of(least[first], buckets), np.diff(first, append=len(least)))
         return out
 
     def merged(self, hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
